@@ -24,6 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphloom.llm import common
 
@@ -137,11 +138,16 @@ def train(texts: list[str], languages: list[str], seed: int = 0) -> Model | None
 
 
 def training_rows(docs: DataFrame) -> tuple[list[str], list[str]]:
-    """The bounded sample: rows out of the held-out fold, with text and lang, smallest id hashes first."""
+    """The bounded sample: rows out of the held-out fold, with text and lang, smallest id hashes first.
+
+    Hashes beyond the share that the sample needs are dropped in the scan, so few rows reach the driver at any size.
+    """
+    labelled = docs.select("doc_id", "text", "lang").where((common.crc_fold("doc_id", FOLDS) != HELD) & F.col("lang").isNotNull())
+    share = min(1.0, 1.5 * SAMPLE / max(1, labelled.select("lang").count()))
+    h = F.xxhash64("doc_id")
     rows = (
-        docs.select("doc_id", "text", "lang")
-        .where((common.crc_fold("doc_id", FOLDS) != HELD) & F.col("text").isNotNull() & F.col("lang").isNotNull())
-        .select(F.xxhash64("doc_id").alias("h"), "doc_id", F.substring("text", 1, SAMPLE_BYTES).alias("text"), "lang")
+        labelled.where((h <= int(-(2**63) + share * (2**64 - 1024))) & F.col("text").isNotNull())
+        .select(h.alias("h"), "doc_id", F.substring("text", 1, SAMPLE_BYTES).alias("text"), "lang")
         .orderBy("h", "doc_id")
         .limit(SAMPLE)
         .collect()
@@ -198,9 +204,7 @@ def annotate(docs: DataFrame, model: Model | None) -> DataFrame:
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(model)
     at = docs.columns.index("text")
-    schema = docs.schema
-    for name, kind in (("lang_pred", "string"), ("rejected", "boolean")):
-        schema = schema.add(name, kind)
+    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("rejected", T.BooleanType())])
 
     def run(batches):
         m = held.value
