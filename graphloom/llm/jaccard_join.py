@@ -27,6 +27,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.llm import common
@@ -222,6 +223,7 @@ def join(docs: DataFrame) -> DataFrame:
     shared = prefixes.groupBy("key").agg(F.min("class").alias("lead"), F.max("class").alias("last")).where("lead < last").select("key", "lead")
     members = common.settle(prefixes.join(shared, "key").distinct(), "buckets")
     busy = members.select("class").distinct()
+    sizes = common.settle(signed.select("class", "n").distinct().join(busy, "class", "left_semi"), "sizes")
     reps = signed.join(busy, "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
     reps = common.settle(reps, "compared")
     ids = reps.select("doc_id")
@@ -240,9 +242,11 @@ def join(docs: DataFrame) -> DataFrame:
         overlap = F.size(F.array_intersect("ea", "eb"))
         return pairs.join(side("a"), "a").join(side("b"), "b").where(180 * overlap >= 80 * (F.size("ea") + F.size("eb"))).select("a", "b")
 
-    side = lambda k: bits.select(F.col("class").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"bits{k}"))
+    size = lambda k: sizes.select(F.col("class").alias(k), F.col("n").alias(f"n{k}"))
+    side = lambda k: bits.select(F.col("class").alias(k), F.col("bits").alias(f"bits{k}"))
     stars = members.where("class <> lead").select(F.col("lead").alias("a"), F.col("class").alias("b")).distinct()
-    stars = stars.join(side("a"), "a").join(side("b"), "b").where("5 * na >= 4 * nb AND 5 * nb >= 4 * na").select("a", "b", "na", "bitsa", "nb", "bitsb")
+    stars = stars.join(size("a"), "a").join(size("b"), "b").where("5 * na >= 4 * nb AND 5 * nb >= 4 * na")  # sizes first: bitmaps only for what is left
+    stars = common.settle(stars, "sized").join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "bitsa", "nb", "bitsb")
     stars = common.settle(stars.mapInArrow(_bound, "a long, b long"), "stars")
     links = common.settle(verified(stars), "links")
     label = components(links)
@@ -253,7 +257,11 @@ def join(docs: DataFrame) -> DataFrame:
     open_ = tagged.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size"), F.sum(F.hash("class").cast("long")).alias("sum")).where("lo < hi AND size > 2")
     open_ = open_.groupBy("size", "sum", "lo", "hi").agg(F.min("key").alias("key"))  # buckets of the same classes count once
     open_ = common.settle(open_.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "open")
-    rows = tagged.join(open_, "key").join(bits, "class").withColumn("mine", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    # within a bucket only classes with another one of like size next to them (in order of size) can link
+    near = W.partitionBy("key").orderBy("n", "class")
+    rows = tagged.join(open_, "key").join(sizes, "class").withColumn("down", F.lag("n").over(near)).withColumn("up", F.lead("n").over(near))
+    rows = rows.where("5 * down >= 4 * n OR 5 * n >= 4 * up").drop("up", "down")
+    rows = common.settle(rows, "open-rows").join(bits.drop("n"), "class").withColumn("mine", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "class", "n", "component", "bits")
     dealt = rows.repartition(common.partitions(docs), "key", "i", "j").sortWithinPartitions("key", "i", "j")
     rest = common.settle(dealt.mapInArrow(_traverse, "a long, b long").distinct(), "survivors")
