@@ -31,43 +31,97 @@ from graphloom.llm import common
 
 CAPACITY, END = 4096, 1
 TOKENIZER = "word_bpe_49k.json"
-#: Chunks that a worker remembers, and the longest one that it does.
-REMEMBERED, LONGEST = 400_000, 48
+#: Words and chunks that a worker remembers, and the longest one that it does.
+REMEMBERED, LONGEST = 500_000, 48
+#: Punctuation that may end a chunk: it is tokenised apart from the letters before it.
+TAIL = b".,!?;:*#$%&)"
+#: Words that are encoded as one text.
+JOINED = 2000
 
 _memory: dict[str, tuple] = {}
 
 
 def _tokenizer(path: str) -> tuple:
-    """(tokenizer, remembered chunks) of this process."""
+    """(tokenizer, which ids end a word, ids of remembered words and chunks) of this process."""
     if path not in _memory:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _memory[path] = (Tokenizer.from_file(path), {})
+        t = Tokenizer.from_file(path)
+        vocabulary = t.get_vocab()
+        ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        suffix = getattr(t.model, "end_of_word_suffix", None) or "\0"
+        for token, i in vocabulary.items():
+            ends[i] = token.endswith(suffix)
+        _memory[path] = (t, ends, {}, {})
     return _memory[path]
 
 
+def _whole(tokenizer, chunks: list[bytes]) -> dict[bytes, bytes]:
+    """The ids of chunks, each encoded by itself."""
+    out = {}
+    for at in range(0, len(chunks), 4096):
+        some = chunks[at : at + 4096]
+        for w, e in zip(some, tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
+            out[w] = array("I", e.ids).tobytes()
+    return out
+
+
+def _words(tokenizer, ends: np.ndarray, words: list[bytes]) -> dict[bytes, bytes]:
+    """The ids of words of letters only: many are encoded as one text, and cut at the tokens that end a word."""
+    out = {}
+    for at in range(0, len(words), JOINED):
+        some = words[at : at + JOINED]
+        ids = np.array(tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, np.uint32)
+        cut = np.flatnonzero(ends[ids]) + 1
+        if len(cut) != len(some) or cut[-1] != len(ids):  # a letter whose lower case is no letter
+            out |= _whole(tokenizer, some)
+            continue
+        raw, start = ids.tobytes(), 0
+        for w, stop in zip(some, (4 * cut).tolist()):
+            out[w] = raw[start:stop]
+            start = stop
+    return out
+
+
 def encode(texts: list[bytes], path: str) -> list[bytes]:
-    """Little-endian unsigned 32-bit ids of each text."""
-    tokenizer, known = _tokenizer(path)
+    """Little-endian unsigned 32-bit ids of each text.
+
+    A chunk of letters and closing punctuation is its word's ids (lower-cased, as the tokenizer does) and its tail's;
+    any other chunk is encoded as it stands.
+    """
+    tokenizer, ends, word_ids, known = _tokenizer(path)
+    if len(known) > REMEMBERED:
+        known.clear()
+    if len(word_ids) > REMEMBERED:
+        word_ids.clear()
     chunks = [t.split() for t in texts]
-    new = list({w for ws in chunks for w in ws if w not in known})
-    if new:
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = list({w for ws in chunks for w in ws})
-        found = {}
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for w, e in zip(some, tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
-                found[w] = array("I", e.ids).tobytes()
-        long_ = {w: v for w, v in found.items() if len(w) > LONGEST}
-        known.update(found)
-        out = [b"".join([known[w] for w in ws]) for ws in chunks]
-        for w in long_:
+    new = {w for ws in chunks for w in ws if w not in known}
+    split, odd, words = [], [], set()
+    for w in new:
+        low = w.lower()
+        core = low.rstrip(TAIL)
+        if core.isalpha() or core and not core.isascii() and core.decode().isalpha():
+            split.append((w, core, low[len(core) :]))
+            if core not in word_ids:
+                words.add(core)
+        else:
+            odd.append(w)
+    word_ids.update(_words(tokenizer, ends, list(words)))
+    known.update(_whole(tokenizer, odd))
+    for tail in {x[2] for x in split}:
+        if tail not in word_ids:
+            word_ids[tail] = _whole(tokenizer, [tail])[tail] if tail else b""
+    for w, core, tail in split:
+        known[w] = word_ids[core] + word_ids[tail]
+    out = [b"".join([known[w] for w in ws]) for ws in chunks]
+    for w in new:
+        if len(w) > LONGEST:
             del known[w]
-        return out
-    return [b"".join([known[w] for w in ws]) for ws in chunks]
+    for w in words:
+        if len(w) > LONGEST:
+            del word_ids[w]
+    return out
 
 
 def _pieces(path: str, capacity: int, end: int):
