@@ -144,9 +144,9 @@ def training_rows(docs: DataFrame) -> tuple[list[str], list[str]]:
     """
     labelled = docs.select("doc_id", "text", "lang").where((common.crc_fold("doc_id", FOLDS) != HELD) & F.col("lang").isNotNull())
     share = min(1.0, 1.5 * SAMPLE / max(1, labelled.select("lang").count()))
-    h = F.xxhash64("doc_id")
+    h = F.xxhash64("doc_id") / 2.0**64 + 0.5
     rows = (
-        labelled.where((h <= int(-(2**63) + share * (2**64 - 1024))) & F.col("text").isNotNull())
+        labelled.where((h <= share) & F.col("text").isNotNull())
         .select(h.alias("h"), "doc_id", F.substring("text", 1, SAMPLE_BYTES).alias("text"), "lang")
         .orderBy("h", "doc_id")
         .limit(SAMPLE)
