@@ -31,10 +31,12 @@ from graphloom.llm import common
 
 CAPACITY, END = 4096, 1
 TOKENIZER = "word_bpe_49k.json"
-#: Words and chunks that a worker remembers, and the longest one that it does.
+#: Words that a worker remembers, and the longest one that it does.
 REMEMBERED, LONGEST = 500_000, 48
 #: Punctuation that may end a chunk: it is tokenised apart from the letters before it.
 TAIL = b".,!?;:*#$%&)"
+#: Bytes of text that are looked up together.
+SLICE = 1 << 23
 #: Words that are encoded as one text.
 JOINED = 2000
 
@@ -42,7 +44,7 @@ _memory: dict[str, tuple] = {}
 
 
 def _tokenizer(path: str) -> tuple:
-    """(tokenizer, which ids end a word, ids of remembered words and chunks) of this process."""
+    """(tokenizer, which ids end a word, ids of remembered words) of this process."""
     if path not in _memory:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -53,7 +55,7 @@ def _tokenizer(path: str) -> tuple:
         suffix = getattr(t.model, "end_of_word_suffix", None) or "\0"
         for token, i in vocabulary.items():
             ends[i] = token.endswith(suffix)
-        _memory[path] = (t, ends, {}, {})
+        _memory[path] = (t, ends, {})
     return _memory[path]
 
 
@@ -90,35 +92,30 @@ def encode(texts: list[bytes], path: str) -> list[bytes]:
     A chunk of letters and closing punctuation is its word's ids (lower-cased, as the tokenizer does) and its tail's;
     any other chunk is encoded as it stands.
     """
-    tokenizer, ends, word_ids, known = _tokenizer(path)
-    if len(known) > REMEMBERED:
-        known.clear()
+    tokenizer, ends, word_ids = _tokenizer(path)
     if len(word_ids) > REMEMBERED:
         word_ids.clear()
     chunks = [t.split() for t in texts]
-    new = {w for ws in chunks for w in ws if w not in known}
-    split, odd, words = [], [], set()
-    for w in new:
-        low = w.lower()
-        core = low.rstrip(TAIL)
-        if core.isalpha() or core and not core.isascii() and core.decode().isalpha():
-            split.append((w, core, low[len(core) :]))
-            if core not in word_ids:
-                words.add(core)
-        else:
+    seen = list(set().union(*chunks))
+    cores = [w.lower().rstrip(TAIL) for w in seen]
+    new = [c for c in set(cores).difference(word_ids) if c.isalpha() or c and not c.isascii() and c.decode().isalpha()]
+    word_ids.update(_words(tokenizer, ends, new))
+    here, odd, tails = {}, [], {b"": b""}
+    for w, core in zip(seen, cores):
+        ids = word_ids.get(core)
+        if ids is None:
             odd.append(w)
-    word_ids.update(_words(tokenizer, ends, list(words)))
-    known.update(_whole(tokenizer, odd))
-    for tail in {x[2] for x in split}:
-        if tail not in word_ids:
-            word_ids[tail] = _whole(tokenizer, [tail])[tail] if tail else b""
-    for w, core, tail in split:
-        known[w] = word_ids[core] + word_ids[tail]
-    out = [b"".join([known[w] for w in ws]) for ws in chunks]
+        elif len(core) == len(w):
+            here[w] = ids
+        else:
+            tail = w[len(core) :]
+            if tail not in tails:
+                tails[tail] = _whole(tokenizer, [tail])[tail]
+            here[w] = ids + tails[tail]
+    here |= _whole(tokenizer, odd)
+    look = here.__getitem__
+    out = [b"".join(map(look, ws)) for ws in chunks]
     for w in new:
-        if len(w) > LONGEST:
-            del known[w]
-    for w in words:
         if len(w) > LONGEST:
             del word_ids[w]
     return out
@@ -131,7 +128,7 @@ def _pieces(path: str, capacity: int, end: int):
         for batch in batches:
             text = common.large(batch.column(1)).cast(pa.large_binary())
             ids = batch.column(0)
-            for a, b in common.slices(text):
+            for a, b in common.slices(text, SLICE):
                 row, piece, start, length, crc = [], [], [], [], []
                 for i, tokens in enumerate(encode(text.slice(a, b - a).to_pylist(), path)):
                     tokens += last
