@@ -28,7 +28,7 @@ from graphloom.llm import common
 FOLDS, HELD = 3, 1
 BUCKETS, BINS, RANK = 1 << 16, 12, 8
 #: At most so many labelled rows are learned from (smallest hashes of the id), by their first bytes; scoring reads all.
-SAMPLE, SAMPLE_BYTES = 6000, 12000
+SAMPLE, SAMPLE_BYTES = 4000, 6000
 EPOCHS, RATE, BATCH, DECAY = 8, 0.15, 32, 1e-5
 
 _U = np.uint64
@@ -89,7 +89,7 @@ def vectors(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     feature = np.concatenate([(key & _U(0xFFFFFFFF)).astype(np.int64), bins.ravel()])
     value = np.concatenate([count / norm[row], np.full(n * STATS, 1.0 / 3)])
     order = np.argsort(rows, kind="stable")
-    return rows[order], feature[order], value[order]
+    return rows[order].astype(np.int32), feature[order].astype(np.int32), value[order].astype(np.float32)
 
 
 def score(model: Model, column: pa.Array) -> np.ndarray:
@@ -109,7 +109,11 @@ def train(texts: list[str], labels: list[int], seed: int = 0) -> Model:
         model.v[:] = 0
         return model
     y = np.array(labels, float)
-    row, feature, x = vectors(pa.array(texts, pa.large_string()))
+    column, parts = pa.array(texts, pa.large_string()), []
+    for a, b in common.slices(column):
+        r, f, v = vectors(column.slice(a, b - a))
+        parts.append((r + a, f, v))
+    row, feature, x = (np.concatenate(p) for p in zip(*parts))
     at = np.searchsorted(row, np.arange(len(texts) + 1))
     gw, gv = np.full(size, 1e-3), np.full((size, RANK), 1e-3)
     for _ in range(EPOCHS):
