@@ -42,6 +42,8 @@ COUNTED, HEAVY, ORDERED = 1 << 21, 3, 1 << 17
 BLOCK = 1024
 #: Up to so many document ids (8 bytes each) are broadcast to pick the texts to compare; more are joined by shuffle.
 BROADCAST_IDS = 1 << 21
+#: Elements (8 bytes each) of a cluster of candidate pairs that one task holds.
+CLUSTER = 1 << 23
 
 _U = np.uint64
 _STEP = [_U(common._MULT * (2 * k + 3) % (1 << 64) | 1) for k in range(WIDTH)]
@@ -148,7 +150,7 @@ def _prefixes(heavy):
 
 
 def _described(kind: str):
-    """(class, n, bits or elements) of every text's set, once a task."""
+    """(class, n, bits and wide bits, or elements) of every text's set, once a task."""
 
     def run(batches):
         seen = set()
@@ -158,9 +160,10 @@ def _described(kind: str):
                 c = class_id(s)
                 if len(s) and c not in seen:
                     seen.add(c)
-                    rows.append((c, len(s), st.bitmap(s).tobytes() if kind == "bits" else s.view(np.int64)))
+                    rows.append((c, len(s), *((st.bitmap(s).tobytes(), st.wide_bitmap(s).tobytes()) if kind == "bits" else (s.view(np.int64),))))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary() if kind == "bits" else pa.list_(pa.int64()))], ["class", "n", kind])
+                kinds = (pa.int64(), pa.int64(), *((pa.binary(), pa.binary()) if kind == "bits" else (pa.list_(pa.int64()),)))
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], ["class", "n", *(("bits", "wide") if kind == "bits" else ("elements",))])
 
     return run
 
@@ -176,6 +179,31 @@ def _bound(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["a", "b"])
 
 
+def _wide(batches):
+    """Pairs whose wide bitmaps allow a link."""
+    for batch in batches:
+        ok = [st.may_link(np.frombuffer(wa, _U), np.frombuffer(wb, _U), na, nb) for na, wa, nb, wb in zip(*(batch.column(k).to_pylist() for k in range(2, 6)))]
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok, pa.bool_())), batch.column(1).filter(pa.array(ok, pa.bool_()))], ["a", "b"])
+
+
+def _compare(batches):
+    """The pairs that link: rows come by cluster, its sets (kind 0) before its pairs (kind 1)."""
+    now, held = None, {}
+    for batch in batches:
+        out = []
+        elements = batch.column(4)
+        for i, (label, kind, a, b) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(4)))):
+            if label != now:
+                now, held = label, {}
+            if kind == 0:
+                held[a] = elements[i].values.to_numpy().view(_U)
+            else:
+                x, y = held[a], held[b]
+                if st.linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)):
+                    out.append((a, b))
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64())], ["a", "b"])
+
+
 def _traverse(batches):
     """Surviving pairs of the bucket blocks, which come sorted by (key, i, j)."""
     held: list = []
@@ -229,18 +257,30 @@ def join(docs: DataFrame) -> DataFrame:
     ids = reps.select("doc_id")
     ids = F.broadcast(ids) if reps.count() <= BROADCAST_IDS else ids
     chosen = texts.join(ids, "doc_id", "left_semi")
-    bits = common.settle(chosen.mapInArrow(_described("bits"), "class long, n long, bits binary").dropDuplicates(["class"]), "bitmaps")
+    bits = common.settle(chosen.mapInArrow(_described("bits"), "class long, n long, bits binary, wide binary").dropDuplicates(["class"]), "bitmaps")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs that do link, by their whole sets."""
-        wanted = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
-        docs_of = common.settle(reps.join(wanted, "class", "left_semi").select("doc_id"), "texts-compared")
+        """The pairs that do link: first by their wide bitmaps, then by their whole sets."""
+        wide = lambda k: bits.select(F.col("class").alias(k), F.col("n").alias(f"n{k}"), F.col("wide").alias(f"wide{k}"))
+        pairs = pairs.join(wide("a"), "a").join(wide("b"), "b").select("a", "b", "na", "widea", "nb", "wideb")
+        pairs = common.settle(pairs.mapInArrow(_wide, "a long, b long"), "pairs")
+        # pairs are compared where the sets of their cluster are, each sent once; a cluster too large for a task goes pair by pair
+        cluster = components(pairs)
+        weight = cluster.join(sizes.withColumnRenamed("class", "node"), "node").groupBy("label").agg(F.sum("n").alias("total"))
+        cluster = common.settle(cluster.join(weight, "label").select("node", "label", (F.col("total") <= CLUSTER).alias("small")), "clusters")
+        docs_of = common.settle(reps.join(cluster.select(F.col("node").alias("class")), "class", "left_semi").select("doc_id"), "texts-compared")
         docs_of = F.broadcast(docs_of) if docs_of.count() <= BROADCAST_IDS else docs_of
         full = texts.join(docs_of, "doc_id", "left_semi").mapInArrow(_described("elements"), "class long, n long, elements array<long>").dropDuplicates(["class"])
-        full = common.settle(full, "sets")
-        side = lambda k: full.select(F.col("class").alias(k), F.col("elements").alias(f"e{k}"))
-        overlap = F.size(F.array_intersect("ea", "eb"))
-        return pairs.join(side("a"), "a").join(side("b"), "b").where(180 * overlap >= 80 * (F.size("ea") + F.size("eb"))).select("a", "b")
+        full = common.settle(full.join(cluster.withColumnRenamed("node", "class"), "class"), "sets")
+        here = pairs.join(cluster.withColumnRenamed("node", "a"), "a")
+        none = F.lit(None).cast("array<long>")
+        rows = full.where("small").select("label", F.lit(0).alias("kind"), F.col("class").alias("a"), F.lit(0).cast("long").alias("b"), "elements")
+        rows = rows.unionByName(here.where("small").select("label", F.lit(1).alias("kind"), "a", "b", none.alias("elements")))
+        near = rows.repartition(common.partitions(docs), "label").sortWithinPartitions("label", "kind").mapInArrow(_compare, "a long, b long")
+        side = lambda k: full.where("NOT small").select(F.col("class").alias(k), F.col("elements").alias(f"e{k}"))
+        far = here.where("NOT small").select("a", "b").join(side("a"), "a").join(side("b"), "b")
+        far = far.where(180 * F.size(F.array_intersect("ea", "eb")) >= 80 * (F.size("ea") + F.size("eb"))).select("a", "b")
+        return near.unionByName(far)
 
     size = lambda k: sizes.select(F.col("class").alias(k), F.col("n").alias(f"n{k}"))
     side = lambda k: bits.select(F.col("class").alias(k), F.col("bits").alias(f"bits{k}"))
@@ -261,7 +301,7 @@ def join(docs: DataFrame) -> DataFrame:
     near = W.partitionBy("key").orderBy("n", "class")
     rows = tagged.join(open_, "key").join(sizes, "class").withColumn("down", F.lag("n").over(near)).withColumn("up", F.lead("n").over(near))
     rows = rows.where("5 * down >= 4 * n OR 5 * n >= 4 * up").drop("up", "down")
-    rows = common.settle(rows, "open-rows").join(bits.drop("n"), "class").withColumn("mine", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    rows = common.settle(rows, "open-rows").join(bits.select("class", "bits"), "class").withColumn("mine", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "class", "n", "component", "bits")
     dealt = rows.repartition(common.partitions(docs), "key", "i", "j").sortWithinPartitions("key", "i", "j")
     rest = common.settle(dealt.mapInArrow(_traverse, "a long, b long").distinct(), "survivors")

@@ -28,6 +28,25 @@ def bitmap(elements: np.ndarray) -> np.ndarray:
     return out
 
 
+def wide_bitmap(elements: np.ndarray) -> np.ndarray:
+    """A signature of about four bits per element (a power of two): long texts need more than a tree's bits."""
+    bits = 1 << max(6, int(4 * len(elements) - 1).bit_length())
+    out = np.zeros(bits // 64, _U)
+    bit = (elements >> _U(13)) & _U(bits - 1)
+    np.bitwise_or.at(out, (bit >> _U(6)).astype(np.int64), _U(1) << (bit & _U(63)))
+    return out
+
+
+def may_link(a: np.ndarray, b: np.ndarray, na: int, nb: int) -> bool:
+    """Whether the wide signatures of two sets of these sizes allow a link; the wider one is folded to the other."""
+    while len(a) > len(b):
+        a = a[: len(a) // 2] | a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] | b[len(b) // 2 :]
+    most = min(na - int(count(a)), nb - int(count(b))) + int(count(a & b))
+    return 180 * min(most, na, nb) >= 80 * (na + nb)
+
+
 def count(bits: np.ndarray) -> np.ndarray:
     return np.bitwise_count(bits).sum(-1, dtype=np.int64)
 
