@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass works on.
 CHUNK_CHARS = 1 << 20
+#: Rows of an Arrow batch at most.
+BATCH_ROWS = 2048
 
 _U = np.uint64
 _MULT = 0x9E3779B97F4A7C15
@@ -50,6 +52,13 @@ def settle(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, with Arrow batches of few rows: batches of whole texts are what Python workers hold at once."""
+    if int(df.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -239,7 +239,7 @@ def _traverse(batches):
 def join(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of (doc_id, text)."""
     spark = docs.sparkSession
-    texts = docs.select("doc_id", "text")
+    texts = common.bounded(docs).select("doc_id", "text")
     first = common.settle(texts.mapInArrow(_signatures, "kind int, doc_id long, a long, n long"), "shingle-classes")
     signed = first.where("kind = 0").select("doc_id", F.col("a").alias("class"), "n")
     top = first.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a").limit(ORDERED).toArrow()

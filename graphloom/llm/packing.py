@@ -31,7 +31,7 @@ from graphloom.llm import common
 
 CAPACITY, END = 4096, 1
 TOKENIZER = "word_bpe_49k.json"
-#: Words that a worker remembers, and the longest one that it does.
+#: Words that a task remembers, and the longest one that it does.
 REMEMBERED, LONGEST = 500_000, 48
 #: Punctuation that may end a chunk: it is tokenised apart from the letters before it.
 TAIL = b".,!?;:*#$%&)"
@@ -44,7 +44,7 @@ _memory: dict[str, tuple] = {}
 
 
 def _tokenizer(path: str) -> tuple:
-    """(tokenizer, which ids end a word, ids of remembered words) of this process."""
+    """(tokenizer, which ids end a word) of this process."""
     if path not in _memory:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -55,7 +55,7 @@ def _tokenizer(path: str) -> tuple:
         suffix = getattr(t.model, "end_of_word_suffix", None) or "\0"
         for token, i in vocabulary.items():
             ends[i] = token.endswith(suffix)
-        _memory[path] = (t, ends, {})
+        _memory[path] = (t, ends)
     return _memory[path]
 
 
@@ -86,13 +86,13 @@ def _words(tokenizer, ends: np.ndarray, words: list[bytes]) -> dict[bytes, bytes
     return out
 
 
-def encode(texts: list[bytes], path: str) -> list[bytes]:
+def encode(texts: list[bytes], path: str, word_ids: dict[bytes, bytes]) -> list[bytes]:
     """Little-endian unsigned 32-bit ids of each text.
 
     A chunk of letters and closing punctuation is its word's ids (lower-cased, as the tokenizer does) and its tail's;
-    any other chunk is encoded as it stands.
+    any other chunk is encoded as it stands. ``word_ids`` remembers words from call to call.
     """
-    tokenizer, ends, word_ids = _tokenizer(path)
+    tokenizer, ends = _tokenizer(path)
     if len(word_ids) > REMEMBERED:
         word_ids.clear()
     chunks = [t.split() for t in texts]
@@ -125,12 +125,13 @@ def _pieces(path: str, capacity: int, end: int):
     last = array("I", [end]).tobytes()
 
     def run(batches):
+        word_ids: dict[bytes, bytes] = {}
         for batch in batches:
             text = common.large(batch.column(1)).cast(pa.large_binary())
             ids = batch.column(0)
             for a, b in common.slices(text, SLICE):
                 row, piece, start, length, crc = [], [], [], [], []
-                for i, tokens in enumerate(encode(text.slice(a, b - a).to_pylist(), path)):
+                for i, tokens in enumerate(encode(text.slice(a, b - a).to_pylist(), path, word_ids)):
                     tokens += last
                     n = len(tokens) // 4
                     for k, at in enumerate(range(0, n, capacity)):
@@ -226,7 +227,7 @@ def _place(table):
 
 def tokenised(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every piece."""
-    return docs.select("doc_id", "text").mapInArrow(_pieces(path, capacity, end), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return common.bounded(docs).select("doc_id", "text").mapInArrow(_pieces(path, capacity, end), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
