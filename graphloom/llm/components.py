@@ -1,7 +1,9 @@
-"""Connected components of an edge table: alternating large-star and small-star steps on settled tables."""
+"""Connected components of an edge table: union-find in one task up to a bounded size, and beyond it alternating
+large-star and small-star steps on settled tables (the labels are the same)."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,9 +26,35 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return common.settle(out.where("u <> v").distinct(), "cc-edges")
 
 
+#: Edges (16 bytes each) that one task takes.
+ONE_TASK = 1 << 18
+
+
+def _forest(batches):
+    """(node, label) of all nodes, by union-find towards the smaller node."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (p := parent.setdefault(x, x)) != x:
+            parent[x] = parent[p] if p in parent else p
+            x = p
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = root(u), root(v)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+    if parent:
+        nodes = list(parent)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], ["node", "label"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of every node of the (a, b) edges: label is the smallest node that links reach."""
     now = common.settle(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc-edges")
+    if now.count() <= ONE_TASK:
+        return common.settle(now.select("u", "v").coalesce(1).mapInArrow(_forest, "node long, label long"), "cc-labels")
     before = None
     while True:
         now = _star(_star(now, True), False)
