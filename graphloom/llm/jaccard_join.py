@@ -44,6 +44,8 @@ BLOCK = 1024
 BROADCAST_IDS = 1 << 21
 #: Elements (8 bytes each) of a cluster of candidate pairs that one task holds.
 CLUSTER = 1 << 23
+#: Candidate pairs that a lane of a cluster compares, about.
+PAIRS = 1024
 
 _U = np.uint64
 _STEP = [_U(common._MULT * (2 * k + 3) % (1 << 64) | 1) for k in range(WIDTH)]
@@ -187,14 +189,14 @@ def _wide(batches):
 
 
 def _compare(batches):
-    """The pairs that link: rows come by cluster, its sets (kind 0) before its pairs (kind 1)."""
+    """The pairs that link: rows come by lane of a cluster, its sets (kind 0) before its pairs (kind 1)."""
     now, held = None, {}
     for batch in batches:
         out = []
-        elements = batch.column(4)
-        for i, (label, kind, a, b) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(4)))):
-            if label != now:
-                now, held = label, {}
+        elements = batch.column(5)
+        for i, (label, lane, kind, a, b) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(5)))):
+            if (label, lane) != now:
+                now, held = (label, lane), {}
             if kind == 0:
                 held[a] = elements[i].values.to_numpy().view(_U)
             else:
@@ -272,11 +274,15 @@ def join(docs: DataFrame) -> DataFrame:
         docs_of = F.broadcast(docs_of) if docs_of.count() <= BROADCAST_IDS else docs_of
         full = texts.join(docs_of, "doc_id", "left_semi").mapInArrow(_described("elements"), "class long, n long, elements array<long>").dropDuplicates(["class"])
         full = common.settle(full.join(cluster.withColumnRenamed("node", "class"), "class"), "sets")
+        # a cluster's pairs go to lanes of about PAIRS, with the sets that they use
         here = pairs.join(cluster.withColumnRenamed("node", "a"), "a")
-        none = F.lit(None).cast("array<long>")
-        rows = full.where("small").select("label", F.lit(0).alias("kind"), F.col("class").alias("a"), F.lit(0).cast("long").alias("b"), "elements")
-        rows = rows.unionByName(here.where("small").select("label", F.lit(1).alias("kind"), "a", "b", none.alias("elements")))
-        near = rows.repartition(common.partitions(docs), "label").sortWithinPartitions("label", "kind").mapInArrow(_compare, "a long, b long")
+        lanes = common.settle(here.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / PAIRS).alias("lanes")), "lanes")
+        here = common.settle(here.join(lanes, "label").select("label", F.pmod(F.xxhash64("a"), "lanes").alias("lane"), "a", "b", "small"), "dealt-pairs")
+        close = here.where("small")
+        used = close.select("label", "lane", F.col("a").alias("class")).unionByName(close.select("label", "lane", F.col("b").alias("class"))).distinct()
+        rows = used.join(full.select("class", "elements"), "class").select("label", "lane", F.lit(0).alias("kind"), F.col("class").alias("a"), F.lit(0).cast("long").alias("b"), "elements")
+        rows = rows.unionByName(close.select("label", "lane", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("array<long>").alias("elements")))
+        near = rows.repartition(common.partitions(docs), "label", "lane").sortWithinPartitions("label", "lane", "kind").mapInArrow(_compare, "a long, b long")
         side = lambda k: full.where("NOT small").select(F.col("class").alias(k), F.col("elements").alias(f"e{k}"))
         far = here.where("NOT small").select("a", "b").join(side("a"), "a").join(side("b"), "b")
         far = far.where(180 * F.size(F.array_intersect("ea", "eb")) >= 80 * (F.size("ea") + F.size("eb"))).select("a", "b")
