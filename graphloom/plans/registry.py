@@ -1,4 +1,6 @@
 """All queries of the graph engine with their SQL."""
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from graphloom.plans import algebra, matching
+
+QUERIES = matching.QUERIES | algebra.QUERIES
+SQL = matching.SQL | algebra.SQL
