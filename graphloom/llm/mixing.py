@@ -31,6 +31,8 @@ MAX_REPEATS = 1.5
 BLOCK, LEVELS, JOBS = 1 << 18, 5, 6
 #: How many rows a block holds at most on average, so that texts of no length are dealt too.
 ROWS = 1 << 12
+#: Up to so many rows (20 bytes each) of how often documents are read are broadcast; more are joined by shuffle.
+BROADCAST_ROWS = 1 << 20
 
 
 def tokens(text: Column) -> Column:
@@ -142,16 +144,19 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the rows of the mixture; a document that is read twice comes twice. No document is lost.
 
-    How often each row is read is joined back by (doc_id, hash of the text); rows equal in both come as often
-    as the sum of them would.
+    How often each row is read is joined by (doc_id, hash of the text), so no text is shuffled where that table is small
+    enough to broadcast. Rows equal in both are read alike, rounding up.
     """
     columns = docs.columns
-    h = F.xxhash64(F.lit(0), "doc_id", F.xxhash64("text"))
-    times = common.settle(mix(docs).groupBy("doc_id", "h").agg(F.count(F.lit(1)).cast("int").alias("n")), "mix-times")
-    rows = docs.withColumn("_h", h)
-    extra = times.where("n > 1").select(F.col("doc_id").alias("_d"), F.col("h").alias("_g"), (F.col("n") - 1).alias("_n"))
-    again = rows.dropDuplicates(["doc_id", "_h"]).join(extra, (F.col("doc_id").eqNullSafe(F.col("_d"))) & (F.col("_h") == F.col("_g"))).withColumn("_k", F.explode(F.sequence(F.lit(1), "_n")))
-    return docs.unionByName(again.select(*columns))
+    d, h, n = (common.column_name(docs, x) for x in ("_doc", "_hash", "_times"))
+    key = F.xxhash64(F.lit(0), "doc_id", F.xxhash64("text"))
+    rows = docs.select("doc_id", key.alias("h")).groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("rows"))
+    reads = mix(docs).groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("reads"))
+    same = reads["h"].eqNullSafe(rows["h"]) & reads["doc_id"].eqNullSafe(rows["doc_id"])
+    times = common.settle(reads.join(rows, same).select(reads["doc_id"].alias(d), reads["h"].alias(h), F.ceil(F.col("reads") / F.col("rows")).cast("int").alias(n)).where(F.col(n) > 1), "mix-times")
+    more = F.broadcast(times) if times.count() <= BROADCAST_ROWS else times
+    both = docs.join(more, docs["doc_id"].eqNullSafe(more[d]) & (key == more[h]), "left")
+    return both.select(*[docs[c] for c in columns], F.explode(F.sequence(F.lit(1), F.coalesce(n, F.lit(1)))).alias(n)).select(*columns)
 
 
 QUERIES = {"op3_mixing": op3_mixing}
