@@ -36,6 +36,8 @@ ROWS, WIDTH, GRAMS = 1 << 16, 8, (2, 3, 4)
 #: (scoring reads whole texts).
 SAMPLE, SAMPLE_BYTES = 4000, 2000
 EPOCHS, RATE, BATCH = 6, 2.0, 32
+#: Steps of gradient descent at least: few rows are gone over more often.
+STEPS = 600
 #: Share of correct held-back rows that the rejection threshold may lose.
 LOSS = 0.001
 
@@ -103,8 +105,9 @@ def train(texts: list[str], languages: list[str], seed: int = 0) -> Model | None
     held = np.arange(len(bags)) % 5 == 4
     learn = np.flatnonzero(~held)
     learn = learn[[len(bags[i]) > 0 for i in learn]] if len(learn) else learn
-    steps, step = EPOCHS * (len(learn) // BATCH + 1), 0
-    for _ in range(EPOCHS):
+    epochs = max(EPOCHS, -(-STEPS // (len(learn) // BATCH + 1)))
+    steps, step = epochs * (len(learn) // BATCH + 1), 0
+    for _ in range(epochs if len(learn) else 0):
         order = rng.permutation(learn)
         for at in range(0, len(order), BATCH):
             rows = order[at : at + BATCH]
