@@ -7,9 +7,11 @@ shingles and subwords are found and hashed with whole-array numpy operations. Bu
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +54,29 @@ def settle(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: What workers remember from task to task, by owner.
+REMEMBERED: dict[str, dict] = {}
+
+
+def kernel(run: Callable, owner: str = "") -> Callable:
+    """``run`` for mapInArrow, with a worker that gives its memory back: what other operators remember is dropped before,
+    and freed memory is returned to the system after each task."""
+
+    def task(batches):
+        for name in [k for k in REMEMBERED if k != owner]:
+            del REMEMBERED[name]
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return task
+
+
 def bounded(df: DataFrame) -> DataFrame:
     """``df``, with Arrow batches of few rows: batches of whole texts are what Python workers hold at once."""
     if int(df.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:

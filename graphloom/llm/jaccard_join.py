@@ -242,14 +242,14 @@ def join(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of (doc_id, text)."""
     spark = docs.sparkSession
     texts = common.bounded(docs).select("doc_id", "text")
-    first = common.settle(texts.mapInArrow(_signatures, "kind int, doc_id long, a long, n long"), "shingle-classes")
+    first = common.settle(texts.mapInArrow(common.kernel(_signatures), "kind int, doc_id long, a long, n long"), "shingle-classes")
     signed = first.where("kind = 0").select("doc_id", F.col("a").alias("class"), "n")
     top = first.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a").limit(ORDERED).toArrow()
     element, often = top.column("a").to_numpy().view(_U), top.column("n").to_numpy()
     order = np.argsort(element)
     heavy = spark.sparkContext.broadcast((element[order], often[order]))
 
-    prefixes = texts.mapInArrow(_prefixes(heavy), "key long, class long").repartition(common.partitions(docs), "key")
+    prefixes = texts.mapInArrow(common.kernel(_prefixes(heavy)), "key long, class long").repartition(common.partitions(docs), "key")
     shared = prefixes.groupBy("key").agg(F.min("class").alias("lead"), F.max("class").alias("last")).where("lead < last").select("key", "lead")
     members = common.settle(prefixes.join(shared, "key").distinct(), "buckets")
     busy = members.select("class").distinct()
@@ -259,20 +259,20 @@ def join(docs: DataFrame) -> DataFrame:
     ids = reps.select("doc_id")
     ids = F.broadcast(ids) if reps.count() <= BROADCAST_IDS else ids
     chosen = texts.join(ids, "doc_id", "left_semi")
-    bits = common.settle(chosen.mapInArrow(_described("bits"), "class long, n long, bits binary, wide binary").dropDuplicates(["class"]), "bitmaps")
+    bits = common.settle(chosen.mapInArrow(common.kernel(_described("bits")), "class long, n long, bits binary, wide binary").dropDuplicates(["class"]), "bitmaps")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs that do link: first by their wide bitmaps, then by their whole sets."""
         wide = lambda k: bits.select(F.col("class").alias(k), F.col("n").alias(f"n{k}"), F.col("wide").alias(f"wide{k}"))
         pairs = pairs.join(wide("a"), "a").join(wide("b"), "b").select("a", "b", "na", "widea", "nb", "wideb")
-        pairs = common.settle(pairs.mapInArrow(_wide, "a long, b long"), "pairs")
+        pairs = common.settle(pairs.mapInArrow(common.kernel(_wide), "a long, b long"), "pairs")
         # pairs are compared where the sets of their cluster are, each sent once; a cluster too large for a task goes pair by pair
         cluster = components(pairs)
         weight = cluster.join(sizes.withColumnRenamed("class", "node"), "node").groupBy("label").agg(F.sum("n").alias("total"))
         cluster = common.settle(cluster.join(weight, "label").select("node", "label", (F.col("total") <= CLUSTER).alias("small")), "clusters")
         docs_of = common.settle(reps.join(cluster.select(F.col("node").alias("class")), "class", "left_semi").select("doc_id"), "texts-compared")
         docs_of = F.broadcast(docs_of) if docs_of.count() <= BROADCAST_IDS else docs_of
-        full = texts.join(docs_of, "doc_id", "left_semi").mapInArrow(_described("elements"), "class long, n long, elements array<long>").dropDuplicates(["class"])
+        full = texts.join(docs_of, "doc_id", "left_semi").mapInArrow(common.kernel(_described("elements")), "class long, n long, elements array<long>").dropDuplicates(["class"])
         full = common.settle(full.join(cluster.withColumnRenamed("node", "class"), "class"), "sets")
         # a cluster's pairs go to lanes of about PAIRS, with the sets that they use
         here = pairs.join(cluster.withColumnRenamed("node", "a"), "a")
@@ -282,7 +282,7 @@ def join(docs: DataFrame) -> DataFrame:
         used = close.select("label", "lane", F.col("a").alias("class")).unionByName(close.select("label", "lane", F.col("b").alias("class"))).distinct()
         rows = used.join(full.select("class", "elements"), "class").select("label", "lane", F.lit(0).alias("kind"), F.col("class").alias("a"), F.lit(0).cast("long").alias("b"), "elements")
         rows = rows.unionByName(close.select("label", "lane", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("array<long>").alias("elements")))
-        near = rows.repartition(common.partitions(docs), "label", "lane").sortWithinPartitions("label", "lane", "kind").mapInArrow(_compare, "a long, b long")
+        near = rows.repartition(common.partitions(docs), "label", "lane").sortWithinPartitions("label", "lane", "kind").mapInArrow(common.kernel(_compare), "a long, b long")
         side = lambda k: full.where("NOT small").select(F.col("class").alias(k), F.col("elements").alias(f"e{k}"))
         far = here.where("NOT small").select("a", "b").join(side("a"), "a").join(side("b"), "b")
         far = far.where(180 * F.size(F.array_intersect("ea", "eb")) >= 80 * (F.size("ea") + F.size("eb"))).select("a", "b")
@@ -293,7 +293,7 @@ def join(docs: DataFrame) -> DataFrame:
     stars = members.where("class <> lead").select(F.col("lead").alias("a"), F.col("class").alias("b")).distinct()
     stars = stars.join(size("a"), "a").join(size("b"), "b").where("5 * na >= 4 * nb AND 5 * nb >= 4 * na")  # sizes first: bitmaps only for what is left
     stars = common.settle(stars, "sized").join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "bitsa", "nb", "bitsb")
-    stars = common.settle(stars.mapInArrow(_bound, "a long, b long"), "stars")
+    stars = common.settle(stars.mapInArrow(common.kernel(_bound), "a long, b long"), "stars")
     links = common.settle(verified(stars), "links")
     label = components(links)
 
@@ -310,7 +310,7 @@ def join(docs: DataFrame) -> DataFrame:
     rows = common.settle(rows, "open-rows").join(bits.select("class", "bits"), "class").withColumn("mine", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "class", "n", "component", "bits")
     dealt = rows.repartition(common.partitions(docs), "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    rest = common.settle(dealt.mapInArrow(_traverse, "a long, b long").distinct(), "survivors")
+    rest = common.settle(dealt.mapInArrow(common.kernel(_traverse), "a long, b long").distinct(), "survivors")
     more = common.settle(verified(rest), "links")
     label = components(links.unionByName(more))
 

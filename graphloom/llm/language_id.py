@@ -185,7 +185,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
                 ["doc_id", "held_out", "lang_pred", "score", "rejected"],
             )
 
-    return common.bounded(docs).select("doc_id", "text", (common.crc_fold("doc_id", FOLDS) == HELD).alias("held_out")).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
+    return common.bounded(docs).select("doc_id", "text", (common.crc_fold("doc_id", FOLDS) == HELD).alias("held_out")).mapInArrow(common.kernel(run), "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,7 +223,7 @@ def annotate(docs: DataFrame, model: Model | None) -> DataFrame:
                     low.append(not known or x < m.threshold)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(low, pa.bool_())], names=[*batch.schema.names, "lang_pred", "rejected"])
 
-    return common.bounded(docs).mapInArrow(run, schema)
+    return common.bounded(docs).mapInArrow(common.kernel(run), schema)
 
 
 QUERIES = {"op4_language_id": op4_language_id}

@@ -31,7 +31,7 @@ from graphloom.llm import common
 
 CAPACITY, END = 4096, 1
 TOKENIZER = "word_bpe_49k.json"
-#: Words that a task remembers, and the longest one that it does.
+#: Words that a worker remembers, and the longest one that it does.
 REMEMBERED, LONGEST = 500_000, 48
 #: Punctuation that may end a chunk: it is tokenised apart from the letters before it.
 TAIL = b".,!?;:*#$%&)"
@@ -125,7 +125,7 @@ def _pieces(path: str, capacity: int, end: int):
     last = array("I", [end]).tobytes()
 
     def run(batches):
-        word_ids: dict[bytes, bytes] = {}
+        word_ids = common.REMEMBERED.setdefault("packing", {})
         for batch in batches:
             text = common.large(batch.column(1)).cast(pa.large_binary())
             ids = batch.column(0)
@@ -227,7 +227,7 @@ def _place(table):
 
 def tokenised(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every piece."""
-    return common.bounded(docs).select("doc_id", "text").mapInArrow(_pieces(path, capacity, end), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return common.bounded(docs).select("doc_id", "text").mapInArrow(common.kernel(_pieces(path, capacity, end), "packing"), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -243,7 +243,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     inner = W.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
     ranked = rows.withColumn("within", F.row_number().over(inner) - 1).join(base, ["length", "bucket"])
     return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("within")).cast("long").alias("rank")).mapInArrow(
-        _place(table), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+        common.kernel(_place(table)), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     )
 
 

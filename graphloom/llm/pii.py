@@ -224,7 +224,7 @@ def detect(docs: DataFrame) -> DataFrame:
             sha = [hashlib.sha256(joined(b).encode()).hexdigest() for b in base]
             yield pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array(sha, pa.string()), pa.array(map(joined, all_), pa.string())], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
 
-    return common.bounded(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return common.bounded(docs).select("doc_id", "text").mapInArrow(common.kernel(run), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def redact(docs: DataFrame) -> DataFrame:
@@ -245,7 +245,7 @@ def redact(docs: DataFrame) -> DataFrame:
             columns[at] = pa.array(new, column.type)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    out = common.bounded(docs).mapInArrow(run, docs.schema)
+    out = common.bounded(docs).mapInArrow(common.kernel(run), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out
 
 

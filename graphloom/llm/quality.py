@@ -165,7 +165,7 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
             p = np.concatenate([score(m, text.slice(a, b - a)) for a, b in common.slices(text)]) if len(text) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return common.bounded(docs).select("doc_id", "text", (common.crc_fold("doc_id", FOLDS) == HELD).alias("held_out")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return common.bounded(docs).select("doc_id", "text", (common.crc_fold("doc_id", FOLDS) == HELD).alias("held_out")).mapInArrow(common.kernel(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
