@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass works on.
 CHUNK_CHARS = 1 << 20
-#: Rows of an Arrow batch at most.
-BATCH_ROWS = 2048
+#: Rows and bytes of an Arrow batch, and rows of a Parquet reader's batch, at most: what tasks hold of whole texts at once.
+BATCH_ROWS, BATCH_BYTES, READ_ROWS = 2048, 1 << 23, 512
 
 _U = np.uint64
 _MULT = 0x9E3779B97F4A7C15
@@ -78,9 +78,12 @@ def kernel(run: Callable, owner: str = "") -> Callable:
 
 
 def bounded(df: DataFrame) -> DataFrame:
-    """``df``, with Arrow batches of few rows: batches of whole texts are what Python workers hold at once."""
-    if int(df.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    """``df``, read and sent to workers in batches of few rows: batches of whole texts are what tasks hold at once."""
+    conf = df.sparkSession.conf
+    for key, most in (("execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("parquet.columnarReaderBatchSize", READ_ROWS)):
+        now = conf.get(f"spark.sql.{key}", str(most + 1))  # one with a unit is the user's and stays
+        if now.isdecimal() and int(now) > most:
+            conf.set(f"spark.sql.{key}", most)
     return df
 
 

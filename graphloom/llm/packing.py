@@ -31,8 +31,8 @@ from graphloom.llm import common
 
 CAPACITY, END = 4096, 1
 TOKENIZER = "word_bpe_49k.json"
-#: Words that a worker remembers, and the longest one that it does.
-REMEMBERED, LONGEST = 500_000, 48
+#: Words that a worker remembers (a pipeline's fewer, as its executors have filled their heaps), and the longest one that it does.
+REMEMBERED, REMEMBERED_LATE, LONGEST = 500_000, 100_000, 48
 #: Punctuation that may end a chunk: it is tokenised apart from the letters before it.
 TAIL = b".,!?;:*#$%&)"
 #: Bytes of text that are looked up together.
@@ -86,14 +86,14 @@ def _words(tokenizer, ends: np.ndarray, words: list[bytes]) -> dict[bytes, bytes
     return out
 
 
-def encode(texts: list[bytes], path: str, word_ids: dict[bytes, bytes]) -> list[bytes]:
+def encode(texts: list[bytes], path: str, word_ids: dict[bytes, bytes], remembered: int = REMEMBERED) -> list[bytes]:
     """Little-endian unsigned 32-bit ids of each text.
 
     A chunk of letters and closing punctuation is its word's ids (lower-cased, as the tokenizer does) and its tail's;
     any other chunk is encoded as it stands. ``word_ids`` remembers words from call to call.
     """
     tokenizer, ends = _tokenizer(path)
-    if len(word_ids) > REMEMBERED:
+    if len(word_ids) > remembered:
         word_ids.clear()
     chunks = [t.split() for t in texts]
     seen = list(set().union(*chunks))
@@ -121,7 +121,7 @@ def encode(texts: list[bytes], path: str, word_ids: dict[bytes, bytes]) -> list[
     return out
 
 
-def _pieces(path: str, capacity: int, end: int):
+def _pieces(path: str, capacity: int, end: int, remembered: int, size: int):
     last = array("I", [end]).tobytes()
 
     def run(batches):
@@ -129,9 +129,9 @@ def _pieces(path: str, capacity: int, end: int):
         for batch in batches:
             text = common.large(batch.column(1)).cast(pa.large_binary())
             ids = batch.column(0)
-            for a, b in common.slices(text, SLICE):
+            for a, b in common.slices(text, size):
                 row, piece, start, length, crc = [], [], [], [], []
-                for i, tokens in enumerate(encode(text.slice(a, b - a).to_pylist(), path, word_ids)):
+                for i, tokens in enumerate(encode(text.slice(a, b - a).to_pylist(), path, word_ids, remembered)):
                     tokens += last
                     n = len(tokens) // 4
                     for k, at in enumerate(range(0, n, capacity)):
@@ -225,9 +225,9 @@ def _place(table):
     return run
 
 
-def tokenised(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
+def tokenised(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, remembered: int = REMEMBERED, size: int = SLICE) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every piece."""
-    return common.bounded(docs).select("doc_id", "text").mapInArrow(common.kernel(_pieces(path, capacity, end), "packing"), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return common.bounded(docs).select("doc_id", "text").mapInArrow(common.kernel(_pieces(path, capacity, end, remembered, size), "packing"), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -254,12 +254,12 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stage(spark, common.table(spark, sf_dir, "documents"), sf_dir)
+    return pack(common.settle(tokenised(common.table(spark, sf_dir, "documents"), tokenizer_path()), "pieces"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage (the last): the pieces of all documents and their places."""
-    return pack(common.settle(tokenised(docs, tokenizer_path()), "pieces"))
+    return pack(common.settle(tokenised(docs, tokenizer_path(), remembered=REMEMBERED_LATE, size=SLICE // 4), "pieces"))
 
 
 QUERIES = {"op2_packing": op2_packing}
