@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass works on.
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 19
 #: Rows and bytes of an Arrow batch, and rows of a Parquet reader's batch, at most: what tasks hold of whole texts at once.
 BATCH_ROWS, BATCH_BYTES, READ_ROWS = 2048, 1 << 23, 512
 
@@ -63,11 +63,15 @@ def kernel(run: Callable, owner: str = "") -> Callable:
     and freed memory is returned to the system after each task."""
 
     def task(batches):
-        for name in [k for k in REMEMBERED if k != owner]:
-            del REMEMBERED[name]
+        # imported here: a global of a function that is sent to a worker arrives as a copy, not as this module's own
+        from graphloom.llm import common
+
+        for name in [k for k in common.REMEMBERED if k != owner]:
+            del common.REMEMBERED[name]
         try:
             yield from run(batches)
         finally:
+            common._powers[:] = [np.ones(1, _U), np.ones(1, _U)]
             gc.collect()
             pa.default_memory_pool().release_unused()
             trim = getattr(ctypes.CDLL(None), "malloc_trim", None)

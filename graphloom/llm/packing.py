@@ -40,12 +40,11 @@ SLICE = 1 << 23
 #: Words that are encoded as one text.
 JOINED = 2000
 
-_memory: dict[str, tuple] = {}
-
 
 def _tokenizer(path: str) -> tuple:
     """(tokenizer, which ids end a word) of this process."""
-    if path not in _memory:
+    held = common.REMEMBERED.setdefault("packing", {}).setdefault("tokenizers", {})
+    if path not in held:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -55,8 +54,8 @@ def _tokenizer(path: str) -> tuple:
         suffix = getattr(t.model, "end_of_word_suffix", None) or "\0"
         for token, i in vocabulary.items():
             ends[i] = token.endswith(suffix)
-        _memory[path] = (t, ends)
-    return _memory[path]
+        held[path] = (t, ends)
+    return held[path]
 
 
 def _whole(tokenizer, chunks: list[bytes]) -> dict[bytes, bytes]:
@@ -125,7 +124,7 @@ def _pieces(path: str, capacity: int, end: int, remembered: int, size: int):
     last = array("I", [end]).tobytes()
 
     def run(batches):
-        word_ids = common.REMEMBERED.setdefault("packing", {})
+        word_ids = common.REMEMBERED.setdefault("packing", {}).setdefault("words", {})
         for batch in batches:
             text = common.large(batch.column(1)).cast(pa.large_binary())
             ids = batch.column(0)
