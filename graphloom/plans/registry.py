@@ -1,6 +1,6 @@
 """All queries of the graph engine with their SQL."""
 
-from graphloom.plans import algebra, matching
+from graphloom.plans import algebra, changes, matching
 
-QUERIES = matching.QUERIES | algebra.QUERIES
-SQL = matching.SQL | algebra.SQL
+QUERIES = matching.QUERIES | algebra.QUERIES | changes.QUERIES
+SQL = matching.SQL | algebra.SQL | changes.SQL

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions import vector
-from graphloom.operators import bounds, candidates, filters, match, paths
+from graphloom.operators import bounds, candidates, cores, filters, match, paths, updates
 from graphloom.operators import triples as t
 from graphloom.operators.graph import Graph
 from graphloom.operators.pattern import Pattern, merged
@@ -118,6 +118,38 @@ def test_algebra(spark):
     assert t.compatible(part, spark.createDataFrame([("2",)], "y string")).collect() == [("a", "2")]
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_cores(spark, seed):
+    rng = random.Random(seed)
+    edges = sorted({(rng.randrange(9), rng.choice("ab"), rng.randrange(9)) for _ in range(30)})
+    g = graph(spark, [[0.0, 0.0]] * 10, edges)  # node 9 is alone
+    near = {v: {b if a == v else a for a, _, b in edges if v in (a, b)} - {v} for v in range(10)}
+    by_hand = {}
+    for k in range(10):
+        alive = set(range(10))
+        while gone := {v for v in alive if len(near[v] & alive) < k}:
+            alive -= gone
+        by_hand |= {v: k for v in alive}
+    assert {r["v"]: r["core"] for r in cores.core_numbers(g).collect()} == by_hand
+    top = max(by_hand.values())
+    inside = {v for v, k in by_hand.items() if k >= top}
+    got = cores.k_core(g, top)
+    assert {r["v"] for r in got.nodes.collect()} == inside
+    assert sorted((r["src"], r["rel"], r["dst"]) for r in got.edges.collect()) == [e for e in edges if e[0] in inside and e[2] in inside]
+
+
+def test_updates(spark):
+    make = lambda rows: spark.createDataFrame(rows, "s string, p string, o string")
+    got = lambda df: sorted(tuple(r) for r in df.collect())
+    x = make([("a", "p", "b"), ("b", "p", "c"), ("c", "q", "a")])
+    assert got(updates.insert(x, make([("a", "p", "b"), ("d", "p", "a"), ("d", "p", "a"), ("d", None, "a")]))) == [("a", "p", "b"), ("b", "p", "c"), ("c", "q", "a"), ("d", "p", "a")]
+    assert got(updates.delete(x, make([("a", "p", "b"), ("x", "p", "y")]))) == [("b", "p", "c"), ("c", "q", "a")]
+    assert got(updates.delete(x, make([]))) == got(x)
+    assert got(updates.modify(x, [("?x", "p", "?y")], [("?x", "p", "?y")], [("?y", "p", "?x"), ("b", "p", "c")])) == [("b", "p", "a"), ("b", "p", "c"), ("c", "p", "b"), ("c", "q", "a")]
+    log = spark.createDataFrame([(1, "-", "a", "p", "b"), (2, "+", "a", "p", "b"), (3, "-", "b", "p", "c"), (1, "+", "n", "p", "n"), (1, "-", "n", "p", "n")], "seq int, op string, s string, p string, o string")
+    assert got(updates.replay(x, log)) == [("a", "p", "b"), ("c", "q", "a"), ("n", "p", "n")]
+
+
 def test_compact_folder(spark, tmp_path):
     (tmp_path / "stats.txt").write_text("node_num=2\nrelation_num=1\nedge_num=1\n")
     (tmp_path / "node_names.txt").write_text("a\r\n\nb\n")
@@ -155,7 +187,7 @@ def test_ntriples(spark):
     assert directories.parse_ntriples(lines.withColumnRenamed("line", "value")).collect() == [("a b", "r/x", "ü")]
 
 
-@pytest.mark.parametrize("name", ["match_path2_topk", "match_triangle", "homomorphic_star3", "refine_fixpoint", "leaf_cap", "lb_prune", "match_edges", "group_agg", "khop_directed", "medoid", "candidate_edges"])
+@pytest.mark.parametrize("name", ["match_path2_topk", "match_triangle", "homomorphic_star3", "refine_fixpoint", "leaf_cap", "lb_prune", "match_edges", "group_agg", "khop_directed", "medoid", "candidate_edges", "update_modify", "update_log", "core_numbers"])
 def test_against_sql(spark, name):
     import duckdb
 
