@@ -9,11 +9,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions import vector
-from graphloom.operators import bounds, candidates, cores, filters, match, paths, updates
+from graphloom.operators import bounds, candidates, cores, filters, match, nuclei, paths, updates
 from graphloom.operators import triples as t
 from graphloom.operators.graph import Graph
 from graphloom.operators.pattern import Pattern, merged
-from graphloom.sources import directories
+from graphloom.sources import directories, versions
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -187,7 +187,7 @@ def test_ntriples(spark):
     assert directories.parse_ntriples(lines.withColumnRenamed("line", "value")).collect() == [("a b", "r/x", "ü")]
 
 
-@pytest.mark.parametrize("name", ["match_path2_topk", "match_triangle", "homomorphic_star3", "refine_fixpoint", "leaf_cap", "lb_prune", "match_edges", "group_agg", "khop_directed", "medoid", "candidate_edges", "update_modify", "update_log", "core_numbers"])
+@pytest.mark.parametrize("name", ["match_path2_topk", "match_triangle", "homomorphic_star3", "refine_fixpoint", "leaf_cap", "lb_prune", "match_edges", "group_agg", "khop_directed", "medoid", "candidate_edges", "update_modify", "update_log", "core_numbers", "truss_numbers", "triangle_nuclei"])
 def test_against_sql(spark, name):
     import duckdb
 
@@ -214,3 +214,76 @@ def test_feed(spark, tmp_path):
     q = feed.start(spark.readStream.schema("query_id string, pattern string").json(str(tmp_path / "in")), g, str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination(120)
     assert [(r["rank"], list(r["nodes"])) for r in spark.read.parquet(str(tmp_path / "out")).orderBy("rank").collect()] == [(1, [0, 1]), (2, [1, 0])]
+
+
+def peeled(pairs, r):
+    """Nucleus numbers by taking away the clique of the fewest larger ones, again and again."""
+    nodes, have = sorted({v for p in pairs for v in p}), {frozenset(p) for p in pairs}
+    of = lambda n: [c for c in itertools.combinations(nodes, n) if all(frozenset(x) in have for x in itertools.combinations(c, 2))]
+    left, larger, out, level = set(of(r)), set(of(r + 1)), {}, 0
+    while left:
+        load = {c: sum(set(c) <= set(s) for s in larger) for c in left}
+        c = min(left, key=load.__getitem__)
+        level = max(level, load[c])
+        out[c] = level
+        left.remove(c)
+        larger = {s for s in larger if not set(c) <= set(s)}
+    return out
+
+
+@pytest.mark.parametrize("r", [1, 2, 3])
+def test_nuclei(spark, r):
+    rng = random.Random(r)
+    pairs = [p for p in itertools.combinations(range(9), 2) if rng.random() < 0.7]
+    g = graph(spark, [[0.0]] * 9, [(a, "x", b) if rng.random() < 0.5 else (b, "y", a) for a, b in pairs] + [(4, "x", 4), (pairs[0][1], "z", pairs[0][0])])
+    got = {tuple(x["s"]): x["n"] for x in nuclei.nucleus_numbers(g, r).collect()}
+    assert {c: n for c, n in got.items() if r > 1 or n} == peeled(pairs, r)
+    if r == 1:
+        assert got == {(x["v"],): x["core"] for x in cores.core_numbers(g).collect()}
+
+
+def test_k_truss(spark):
+    g = graph(spark, [[0.0]] * 5, [(0, "a", 1), (1, "a", 2), (2, "b", 0), (0, "c", 1), (2, "a", 3), (4, "a", 4)])
+    sub = nuclei.k_truss(g, 3)
+    assert sorted(x["edge_id"] for x in sub.edges.collect()) == [0, 1, 2, 3]
+    assert sorted(x["v"] for x in sub.nodes.collect()) == [0, 1, 2]
+    assert nuclei.truss_numbers(graph(spark, [[0.0]] * 2, [(0, "a", 0)])).collect() == []
+
+
+def test_versions(spark, tmp_path):
+    f = str(tmp_path / "store")
+    make = lambda rows: spark.createDataFrame(rows, "s string, p string, o string")
+    with pytest.raises(FileNotFoundError):
+        versions.restore(spark, f)
+    versions.backup(make([("a", "p", "b"), ("c", "p", "d")]), f, 0)
+    assert versions.restore(spark, f).count() == 2
+    versions.record(spark.createDataFrame([(1, "-", "a", "p", "b"), (2, "+", "e", "p", "f")], versions.LOG), f)
+    versions.record(spark.createDataFrame([(3, "+", "a", "p", "b")], versions.LOG), f)
+    state = lambda seq=None: sorted(x["s"] for x in versions.restore(spark, f, seq).collect())
+    assert [state(0), state(1), state(2), state()] == [["a", "c"], ["c"], ["c", "e"], ["a", "c", "e"]]
+    versions.backup(versions.restore(spark, f, 2), f, 2)
+    (tmp_path / "store" / "upto=3").mkdir()  # one that was cut short
+    assert versions.backups(spark, f) == [0, 2] and state() == ["a", "c", "e"] and state(1) == ["c"]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    import json
+
+    from graphloom import __main__ as cli
+
+    d = tmp_path / "g"
+    d.mkdir()
+    (d / "stats.txt").write_text("node_num=3\nrelation_num=1\nedge_num=2\n")
+    (d / "node_names.txt").write_text("a\nb\nc\n")
+    (d / "relation_names.txt").write_text("likes\n")
+    (d / "edges.txt").write_text("0\t0\t1\n1\t0\t2\n")
+    (tmp_path / "p.txt").write_text(json.dumps({"nodes": 2, "edges": [[0, "likes", 1]]}) + "\n")
+    cli.main(["match", str(d), str(tmp_path / "p.txt"), "-k", "5", "--directed"])
+    out = json.loads(capsys.readouterr().out.strip().split("\n")[-1])
+    assert [x["nodes"] for x in out["matches"]] == [[0, 1], [1, 2]] and not out["timeout"]
+    slow = spark.range(0, 1 << 50, 1, 8).selectExpr("max(hash(id)) AS h")
+    assert cli.within(spark, 1.0, "slow", slow) is None
+    (tmp_path / "t.nt").write_text("<a> <p> <b> .\n<a> <p> <b> .\n")
+    cli.main(["backup", str(tmp_path / "t.nt"), str(tmp_path / "s")])
+    cli.main(["restore", str(tmp_path / "s"), str(tmp_path / "o")])
+    assert [tuple(x) for x in spark.read.parquet(str(tmp_path / "o")).collect()] == [("a", "p", "b")]
