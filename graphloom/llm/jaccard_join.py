@@ -45,7 +45,7 @@ BROADCAST_IDS = 1 << 21
 #: Elements (8 bytes each) of a cluster of candidate pairs that one task holds.
 CLUSTER = 1 << 23
 #: Candidate pairs that a lane of a cluster compares, about.
-PAIRS = 1024
+PAIRS = 256
 
 _U = np.uint64
 _STEP = [_U(common._MULT * (2 * k + 3) % (1 << 64) | 1) for k in range(WIDTH)]
@@ -277,7 +277,11 @@ def join(docs: DataFrame) -> DataFrame:
         # a cluster's pairs go to lanes of about PAIRS, with the sets that they use
         here = pairs.join(cluster.withColumnRenamed("node", "a"), "a")
         lanes = common.settle(here.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / PAIRS).alias("lanes")), "lanes")
-        here = common.settle(here.join(lanes, "label").select("label", F.pmod(F.xxhash64("a"), "lanes").alias("lane"), "a", "b", "small"), "dealt-pairs")
+        # a class with more pairs than a lane's (a leader of near copies) is spread by its partners, its set going to each lane
+        hubs = here.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PAIRS).select("a", F.lit(True).alias("hub"))
+        here = here.join(lanes, "label").join(common.settle(hubs, "hubs"), "a", "left")
+        lane = F.pmod(F.when(F.col("hub"), F.xxhash64("b")).otherwise(F.xxhash64("a")), "lanes")
+        here = common.settle(here.select("label", lane.alias("lane"), "a", "b", "small"), "dealt-pairs")
         close = here.where("small")
         used = close.select("label", "lane", F.col("a").alias("class")).unionByName(close.select("label", "lane", F.col("b").alias("class"))).distinct()
         rows = used.join(full.select("class", "elements"), "class").select("label", "lane", F.lit(0).alias("kind"), F.col("class").alias("a"), F.lit(0).cast("long").alias("b"), "elements")
