@@ -4,6 +4,7 @@ A vector's components are cut into PARTS slices; each slice keeps a score list o
 
 1. Gather: every slice gives, for each query, its k largest partial scores and its smallest one. Scoring the objects
    seen so far with the smallest in place of what is missing gives a lower bound tau of the k-th best total.
+   An object is one row, known by its task and place there: rows of one id never add up to one object.
 2. Cutoff: with low_s the smallest of slice s, an object whose partial score is below low_s + (tau - sum low) / PARTS
    in every slice totals less than tau. This cutoff travels with the query blocks; every list gives the entries at or
    above it, which are all objects that can matter.
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -58,50 +60,52 @@ def _load(state: dict, row: dict, k: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return ids, whole(row["vectors"], len(ids)), state["q"][:, None] == ids[None, :]
 
 
-def _keep(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row-wise the k largest scores, ties to smaller ids (the ids are one row for all, or a row each)."""
-    ids = np.broadcast_to(ids, score.shape)
+def _keep(k: int, score: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row-wise the k largest scores, ties to smaller ids (the ids and row numbers are one row for all, or a row each)."""
+    found = [score, *(np.broadcast_to(x, score.shape) for x in (ids, rows))]
     if score.shape[1] > 4 * k:  # all entries at or above the k-th largest, then a full sort of those
         kth = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k]
         width = int((score >= kth[:, None]).sum(1).max())
         order = np.argsort(np.where(score >= kth[:, None], 0, 1), axis=1, kind="stable")[:, :width]
-        score, ids = np.take_along_axis(score, order, 1), np.take_along_axis(ids, order, 1)
-    order = np.lexsort((ids, -score), axis=1)[:, :k]
-    return np.take_along_axis(score, order, 1), np.take_along_axis(ids, order, 1)
+        found = [np.take_along_axis(x, order, 1) for x in found]
+    order = np.lexsort((found[1], -found[0]), axis=1)[:, :k]
+    return tuple(np.take_along_axis(x, order, 1) for x in found)
 
 
 def _gather(k: int):
     def run(state: dict, row: dict) -> None:
         ids, y, own = _load(state, row, k)
+        first = state.get("rows", TaskContext.get().partitionId() << 40)
+        state["rows"], at = first + len(ids), np.arange(first, first + len(ids))
         for s, part in enumerate(state["parts"]):
             p = product(state["x"][:, part], y[:, part])
             low = np.where(own, _LAST, p).min(1)
-            best, best_id = _keep(np.where(own, _NONE, p), ids[None, :], k)
+            found = _keep(k, np.where(own, _NONE, p), ids[None, :], at[None, :])
             if ("low", s) in state:
                 low = np.minimum(low, state["low", s])
-                best, best_id = _keep(np.concatenate([best, state["best", s]], 1), np.concatenate([best_id, state["id", s]], 1), k)
-            state["low", s], state["best", s], state["id", s] = low, best, best_id
+                found = _keep(k, *(np.concatenate(x, 1) for x in zip(found, state["found", s])))
+            state["low", s], state["found", s] = low, found
 
     return run
 
 
 def _gathered(state: dict):
-    out: list[list] = [[], [], [], [], []]
+    out: list[list] = [[], [], [], [], [], []]
     for s in range(len(state["parts"])):
         n = len(state["q"])
-        for column, values in zip(out, (state["q"], np.full(n, s), state["low", s], list(state["best", s]), list(state["id", s]))):
+        for column, values in zip(out, (state["q"], np.full(n, s), state["low", s], *map(list, state["found", s]))):
             column.extend(values)
-    return [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.list_(pa.int64())), pa.array(out[4], pa.list_(pa.int64()))]
+    return [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in out[3:])]
 
 
 def cutoffs(lists: DataFrame, k: int) -> DataFrame:
     """(query_id, tau, lows): from every task's local lists, the safe cutoff of each query."""
     lows = lists.groupBy("query_id", "part").agg(F.min("low").alias("low"))
     total = lows.groupBy("query_id").agg(F.sum("low").alias("low_sum"), F.array_sort(F.collect_list(F.struct("part", "low"))).alias("lows"))
-    seen = lists.select("query_id", "part", F.explode(F.arrays_zip("best", "ids")).alias("e")).where(F.col("e.best") != _NONE).select("query_id", "part", F.col("e.ids").alias("vec_id"), F.col("e.best").alias("p"))
+    seen = lists.select("query_id", "part", F.explode(F.arrays_zip("best", "ids", "rows")).alias("e")).where(F.col("e.best") != _NONE).select("query_id", "part", F.col("e.ids").alias("vec_id"), F.col("e.rows").alias("row"), F.col("e.best").alias("p"))
     top = seen.withColumn("r", F.row_number().over(W.partitionBy("query_id", "part").orderBy(F.desc("p"), "vec_id"))).where(F.col("r") <= k)
-    over = top.join(lows, ["query_id", "part"]).groupBy("query_id", "vec_id").agg(F.sum(F.col("p") - F.col("low")).alias("gain"))
-    kth = over.withColumn("r", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("gain"), "vec_id"))).where(F.col("r") == k).select("query_id", "gain")
+    over = top.join(lows, ["query_id", "part"]).groupBy("query_id", "row").agg(F.sum(F.col("p") - F.col("low")).alias("gain"))
+    kth = over.withColumn("r", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("gain"), "row"))).where(F.col("r") == k).select("query_id", "gain")
     return total.join(kth, "query_id", "left").select("query_id", (F.col("low_sum") + F.coalesce("gain", F.lit(0))).alias("tau"), F.transform("lows", lambda x: x["low"]).alias("lows"))
 
 
@@ -146,7 +150,7 @@ def search(vectors: DataFrame, queries: Column, k: int = K, id_column: str = "ve
     both = vectors.select(F.col(id_column).alias("id"), F.col(vector).alias("v"), queries.alias("is_query"))
     c = common.settle(blocks.pack(both.select("id", "v"), blocks.ROWS, True, False), "vector-blocks")
     q = common.settle(blocks.pack(both.where("is_query").select("id", "v").dropDuplicates(["id"]), blocks.QUERIES_ROWS, True, False).select("dim", "ids", "vectors"), "queries")
-    gathered = blocks.merged(blocks.paired(c, q), _gather(k), "query_id long, part int, low long, best array<long>, ids array<long>", ["query_id", "part", "low", "best", "ids"], _gathered)
+    gathered = blocks.merged(blocks.paired(c, q), _gather(k), "query_id long, part int, low long, best array<long>, ids array<long>, rows array<long>", ["query_id", "part", "low", "best", "ids", "rows"], _gathered)
     cut = common.settle(cutoffs(common.settle(gathered, "lists"), k), "cutoffs")
     numbered = common.settle(q.withColumn("b", F.monotonically_increasing_id()), "queries")
     member = numbered.select("b", "ids").mapInArrow(_members, "b long, query_id long").distinct()

@@ -282,6 +282,18 @@ def test_topk(spark):
     assert topk.search(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_topk_repeated_ids(spark):
+    """Repeated ids are candidates each: rows of one id, alike or not, do not raise the cutoff together."""
+    rng = np.random.default_rng(4)
+    alike = [(1, (100, -100)), (1, (100, -100)), (2, (75, 60)), (3, (75, 60)), (4, (75, 60)), (5, (60, 60)), (6, (70, -25)), (7, (0, 0))]
+    unlike = [(i, x) for i in range(1, 6) for x in ((100, -100), (-100, 100))] + [(i, (45, 45)) for i in range(6, 11)]
+    drawn = [(int(rng.integers(1, 12)), tuple(map(int, rng.integers(-9, 10, 2)))) for _ in range(60)]
+    for rows in (alike, unlike, drawn):
+        df = spark.createDataFrame([(0, [1.0, 1.0]), *((i, [float(a), float(b)]) for i, (a, b) in rows)], "vec_id long, embedding array<double>").repartition(3)
+        got = [(r["vec_id"], r["score"]) for r in topk.search(df, F.col("vec_id") == 0).orderBy("rank").collect()]
+        assert got == [(i, -s) for s, i in sorted((-(256**2) * (a + b), i) for i, (a, b) in rows)[:5]]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
