@@ -104,6 +104,13 @@ def test_pii(spark, docs, empty):
     assert ((boosting.fit(x, y).predict(x) > 0.5) == y).mean() > 0.95
 
 
+@pytest.mark.parametrize("end", [".", "!", "-", ".\n", ". Then", ""])
+def test_pii_sentence_end(end):
+    for before, number in (("call ", "555-123-4567"), ("tel: ", "(030) 123-4567")):
+        assert pii.find(before + number + end, *pii.trained())[1] == [("phone", len(before), len(before) + len(number))]
+    assert not pii.find("call 555-123-4567.8", *pii.trained())[1]
+
+
 BASE_SECRETS = (
     ("assign", r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 6),
     ("access", r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20),
