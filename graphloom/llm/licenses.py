@@ -1,6 +1,8 @@
 """Licence scans: a trained paragraph classifier in DataFrame functions, confirmed against templates.
 
-Paragraphs (lines) that hold a cue word are candidates; the classifier's features are the word n-grams (1 to 3 words) of
+A paragraph ends at a blank line; comment prefixes are dropped and its wrapped lines joined. Its lines, its sentences
+and the paragraph as a whole are candidates where they hold a cue word: a notice may fill a line, be wrapped, or stand
+in a longer paragraph. The classifier's features are the word n-grams (1 to 3 words) of
 such paragraphs, and every licence it knows is named by a cue, so a paragraph without one is unknown by definition. A multinomial logistic regression over these sparse n-grams, trained in numpy on the templates below,
 their mutilations, and cue-bearing text that is no licence (the ``unknown`` class), identifies the family. Its
 weights are a table of bounded size (the n-grams of the training texts) that is broadcast and joined; scores
@@ -9,7 +11,8 @@ predicted family is confirmed when enough of the 3-word n-grams of its closest t
 
 Defined results: null and empty texts have no licence; repeated rows give repeated results; of several paragraphs the
 confirmed, then the most probable decides (ties: the earlier one); extra columns are ignored; an empty table
-gives an empty result.
+gives an empty result. ``n_notices`` counts, in each paragraph with a notice, the sentences that are one or the
+confirmed lines, whichever are more, and one at least.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ from graphloom.llm import common
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "This software is available under the terms of the MIT license; permission is granted free of charge to any person."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "You may not use this file except in compliance with the Apache License Version 2.0."),
     ("GPL", "This work is licensed under the GNU General Public License, version 3."),
@@ -53,7 +57,12 @@ OTHERS = (
     "the license fee for the software was high", "an open source project without a licence", "under the terms of the agreement", "released under the new version of the rules", "the general public was free to come",
 )
 UNKNOWN = "unknown"
+#: The parts of a paragraph that are candidates.
+LINE, SENTENCE, WHOLE = range(3)
+COMMENT = r"(?m)^[ \t]*(?:/\*+|\*+/?|//+|#+|;+|--+|%+|>+|<!--|dnl\b|REM\b)[ \t]*"
 CUE = r"(?i)licen[cs]|gnu|copyright|redistribut|unlicense|creative commons|public domain|spdx"
+#: The cue in a text whose lines are not joined yet.
+WRAPPED_CUE = CUE.replace(" ", r"\s(?:[^\S\n]|[\n/*#;%>-]|dnl\b|REM\b)*")
 WORD = r"[a-z0-9.+-]*[a-z0-9]"
 GRAMS = 3
 #: Share of the closest template's 3-word n-grams that confirms a prediction; longest paragraph n-grams are unbounded.
@@ -113,9 +122,19 @@ def trained() -> tuple[list[str], dict[str, list[float]], list[float], float]:
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, place, paragraph) of the candidate lines; lines without a cue are dropped before any exploding."""
-    lines = F.filter(F.transform(F.split("text", r"\n+"), lambda x, i: F.struct(i.alias("place"), x.alias("paragraph"))), lambda s: s["paragraph"].rlike(CUE))
-    return docs.where(F.col("text").rlike(CUE)).select("row", "doc_id", F.inline(lines))
+    """(row, doc_id, place, paragraph) of the candidates, which are chosen before any exploding.
+
+    ``place`` grows with the number of the paragraph, then by part (LINE, SENTENCE, WHOLE), then along the text.
+    """
+    text = F.regexp_replace(F.regexp_replace("text", r"\r\n?", "\n"), COMMENT, "")
+
+    def parts(block: Column, i: Column) -> Column:
+        joined = F.regexp_replace(block, r"\s*\n\s*", " ")
+        of = lambda kind, xs: F.transform(xs, lambda x, k: F.struct((F.shiftleft(i.cast("long") * 3 + kind, 32) + k).alias("place"), x.alias("paragraph")))
+        each = F.concat(of(LINE, F.split(block, r"\n")), of(SENTENCE, F.split(joined, r"(?<=[.!?])\s+")), of(WHOLE, F.array(joined)))
+        return F.filter(each, lambda s: s["paragraph"].rlike(CUE))
+
+    return docs.where(F.col("text").rlike(WRAPPED_CUE)).select("row", "doc_id", F.inline(F.flatten(F.transform(F.split(text, r"\n\s*\n"), parts))))
 
 
 def _grams(words: Column) -> Column:
@@ -147,11 +166,15 @@ def classify(found: DataFrame) -> DataFrame:
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, license, score, confirmed, n_notices) of every row: license is null where no paragraph is a notice."""
     rows = common.settle(
-        docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.when(F.col("text").rlike(CUE), F.col("text")).alias("text")), "licence-rows"
+        docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.when(F.col("text").rlike(WRAPPED_CUE), F.col("text")).alias("text")), "licence-rows"
     )
     each = classify(paragraphs(rows)).where(F.col("family") != UNKNOWN)
     best = F.max_by(F.struct("family", "score", "confirmed"), F.struct("confirmed", F.round("score", 9), -F.col("place")))
-    best = each.groupBy("row").agg(best.alias("b"), F.count(F.lit(1)).alias("n")).select(F.col("row").alias("at"), "b.*", "n")
+    part = F.shiftright("place", 32)
+    counted = lambda kind, on=F.lit(True): F.sum(((part % 3 == kind) & on).cast("long"))
+    by_block = each.groupBy("row", F.floor(part / 3).alias("block")).agg(best.alias("b"), F.greatest(counted(SENTENCE), counted(LINE, F.col("confirmed")), F.lit(1)).alias("n"), F.min("place").alias("place"))
+    best = F.max_by("b", F.struct(F.col("b")["confirmed"], F.round(F.col("b")["score"], 9), -F.col("place")))
+    best = by_block.groupBy("row").agg(best.alias("b"), F.sum("n").alias("n")).select(F.col("row").alias("at"), "b.*", "n")
     return rows.select("row", "doc_id").join(best, F.col("row") == F.col("at"), "left").select("doc_id", F.col("family").alias("license"), F.round("score", 6).alias("score"), F.coalesce("confirmed", F.lit(False)).alias("confirmed"), F.coalesce("n", F.lit(0)).cast("long").alias("n_notices"))
 
 

@@ -144,6 +144,30 @@ def test_licenses(spark, docs, empty):
     assert got.count() == docs.count() and got.where("license = 'MIT'").count() == 1 and licenses.scan(empty).count() == 0
 
 
+MIT_TEXT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:"""
+GPL_TEXT = """This program is free software; you can redistribute
+it under the terms of the GNU General
+Public License as published by the Free
+Software Foundation; either version 3."""
+
+
+def test_licenses_wrapped(spark):
+    """Notices wrapped over lines, behind comment prefixes, or in a longer paragraph."""
+    plain = "some words of a story\n" * 3
+    apache = "Licensed under the Apache License,\nVersion 2.0 (the \"License\"); you may not use this file."
+    comment = lambda text, prefix: "".join(f"{prefix}{x}\n" for x in text.split("\n"))
+    rows = [MIT_TEXT, comment(MIT_TEXT, "# ") + "#\n# more", GPL_TEXT, comment(GPL_TEXT, " * "), apache, f"{plain}\n{apache}\n\n{plain}", "a story ends.\nDedicated to the public\ndomain under the Creative\nCommons CC0 license.\nmore of it",
+            f"{plain}It is told.\n{apache}\n{plain}", "Released under the MIT License.\nLicensed under CC BY 4.0.\n\nReleased under the ISC License.", "he lost his\nfishing license\n" + plain, "\r\n".join(GPL_TEXT.split("\n"))]
+    out = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert [out[i]["license"] for i in (0, 1, 2, 3, 4, 5, 6, 7, 9, 10)] == ["MIT", "MIT", "GPL", "GPL", "Apache-2.0", "Apache-2.0", "CC0", "Apache-2.0", None, "GPL"]
+    assert all(out[i]["confirmed"] for i in (0, 1, 2, 3, 4, 5, 6, 7, 10)) and [out[i]["n_notices"] for i in (0, 4, 8, 9)] == [1, 1, 3, 0]
+
+
 def components_by_hand(texts):
     sets = {i: shingles(t) for i, t in texts}
     label = {i: i for i in sets}
