@@ -2,13 +2,14 @@
 
 Candidates are found by patterns. The strict kinds (assign, access, hex: the base) always stay. Further generators
 propose provider keys, tokens and private-key headers. Every candidate's value is hashed and aggregated over
-the whole corpus by distinct repository (document) and owner (source): a value that several owners hold is a widely
-copied example, a value of one owner is live-looking. Added candidates stay where they are live-looking; for base
-spans the two classes are counted (``n_live``, ``n_example``).
+the whole corpus by distinct repository (a text; its copies count once) and owner (source): a value that several owners
+and several repositories hold is a widely copied example, any other is live-looking. ``all_spans`` gives every span, base
+and added, as kind:start:stop:class:repositories:owners; in ``spans`` the added ones stay where they are live-looking.
+The two classes are counted (``n_live``, ``n_example``).
 
 Positions come from splitting at the pattern: the gaps and matches alternate, so their lengths add up to the
-offsets, in code points. Values are aggregated in two steps (per value and owner, then per value), so a value that a
-third of all documents hold is summed before the shuffle.
+offsets, in code points. Values are aggregated in two steps (distinct holders of each value, then per value), so a value
+that a third of all documents hold is summed before the shuffle.
 
 Defined results: null and empty texts have no spans; a null source counts as an owner of its own name; repeated rows
 give repeated results and one repository; extra columns are ignored; an empty table gives an empty result.
@@ -32,8 +33,8 @@ ADDED = (
     ("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 30),
     ("private", r"-----BEGIN (?:RSA |EC |OPENSSH |DSA )?PRIVATE KEY-----[A-Za-z0-9+/=\s]{16,}", 0, 40),
 )
-#: A value of at least so many owners is a widely copied example.
-OWNERS = 2
+#: A value of at least so many owners and repositories is a widely copied example.
+OWNERS, REPOSITORIES = 2, 2
 #: Where none of these is found a text has no candidate at all (a cheaper first look at every text).
 _ANY = "|".join(p for _, p, _, _ in (*BASE, *ADDED)).replace("(?i:password|passwd|secret|token|api_?key)[\"']?", "(?:[Pp][Aa][Ss][Ss][Ww]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[A-Za-z]*[\"']?")
 
@@ -59,32 +60,33 @@ def matches(text: Column, kind: str, pattern: str, group: int, least: int, rank:
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, owner, base, added) of every row: spans by start, then kind as listed."""
+    """(row, doc_id, owner, copy, base, added) of every row: spans by start, then kind as listed; copies of a text share ``copy``."""
     text = F.coalesce("text", F.lit(""))
     kinds = [matches(F.col("text"), *k, rank=i) for i, k in enumerate((*BASE, *ADDED))]
     some = docs.select("doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("owner"), text.alias("text")).withColumn("some", F.col("text").rlike(_ANY))
     none = F.array().cast(_SPANS)
     n = len(BASE)
     return some.select(
-        F.monotonically_increasing_id().alias("row"), "doc_id", "owner",
+        F.monotonically_increasing_id().alias("row"), "doc_id", "owner", F.when(F.col("some"), F.sha2("text", 256)).alias("copy"),
         F.when(F.col("some"), F.array_sort(F.concat(*kinds[:n]))).otherwise(none).alias("base"),
         F.when(F.col("some"), F.array_sort(F.concat(*kinds[n:]))).otherwise(none).alias("added"),
     )
 
 
 def ownership(spans: DataFrame) -> DataFrame:
-    """(value_hash, n_docs, n_owners) of every value in (doc_id, owner, value_hash) rows."""
-    each = spans.select("value_hash", "owner", "doc_id").distinct().groupBy("value_hash", "owner").agg(F.count(F.lit(1)).alias("n"))
-    return each.groupBy("value_hash").agg(F.sum("n").alias("n_docs"), F.count(F.lit(1)).alias("n_owners"))
+    """(value_hash, n_docs, n_owners) of every value in (copy, owner, value_hash) rows."""
+    holders = F.array(F.struct(F.lit(True).alias("is_owner"), F.col("owner").alias("holder")), F.struct(F.lit(False).alias("is_owner"), F.col("copy").alias("holder")))
+    each = spans.select("value_hash", F.inline(holders)).distinct()
+    return each.groupBy("value_hash").agg(F.sum((~F.col("is_owner")).cast("long")).alias("n_docs"), F.sum(F.col("is_owner").cast("long")).alias("n_owners"))
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example) of every row."""
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example, all_spans) of every row."""
     found = common.settle(candidates(docs), "secrets")
-    each = found.where((F.size("base") > 0) | (F.size("added") > 0)).select("row", "doc_id", "owner", F.inline(F.concat("base", "added"))).withColumn("value_hash", F.sha2("value", 256))
+    each = found.where((F.size("base") > 0) | (F.size("added") > 0)).select("row", "owner", "copy", F.inline(F.concat("base", "added"))).withColumn("value_hash", F.sha2("value", 256))
     owned = common.settle(ownership(each), "owners")
     is_base = F.col("rank") < len(BASE)
-    live = F.col("n_owners") < OWNERS
+    live = (F.col("n_owners") < OWNERS) | (F.col("n_docs") < REPOSITORIES)
     text = F.concat_ws(":", "kind", "start", "stop")
     per_row = (
         each.select("row", "value_hash", "rank", "start", text.alias("text"))
@@ -92,16 +94,17 @@ def scan(docs: DataFrame) -> DataFrame:
         .groupBy("row")
         .agg(
             F.array_sort(F.collect_list(F.when(is_base | live, F.struct("start", "rank", "text")))).alias("kept"),
+            F.array_sort(F.collect_list(F.struct("start", "rank", F.concat_ws(":", "text", F.when(live, "live").otherwise("example"), "n_docs", "n_owners").alias("text")))).alias("every"),
             F.sum(live.cast("long")).alias("n_live"),
             F.sum((~live).cast("long")).alias("n_example"),
         )
-        .select(F.col("row").alias("at"), F.array_join(F.transform("kept", lambda x: x["text"]), ",").alias("spans"), "n_live", "n_example")
+        .select(F.col("row").alias("at"), F.array_join(F.transform("kept", lambda x: x["text"]), ",").alias("spans"), "n_live", "n_example", F.array_join(F.transform("every", lambda x: x["text"]), ",").alias("all_spans"))
     )
     count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base_text = F.array_join(F.transform("base", lambda x: F.concat_ws(":", x["kind"], x["start"], x["stop"])), ",")
     left = found.select("row", "doc_id", *[count(k[0]) for k in BASE], F.sha2(base_text, 256).alias("base_sha256"))
     return left.join(per_row, left["row"] == per_row["at"], "left").select(
-        "doc_id", *[f"n_{k[0]}" for k in BASE], "base_sha256", F.coalesce("spans", F.lit("")).alias("spans"), F.coalesce("n_live", F.lit(0)).cast("long").alias("n_live"), F.coalesce("n_example", F.lit(0)).cast("long").alias("n_example")
+        "doc_id", *[f"n_{k[0]}" for k in BASE], "base_sha256", F.coalesce("spans", F.lit("")).alias("spans"), F.coalesce("n_live", F.lit(0)).cast("long").alias("n_live"), F.coalesce("n_example", F.lit(0)).cast("long").alias("n_example"), F.coalesce("all_spans", F.lit("")).alias("all_spans")
     )
 
 
