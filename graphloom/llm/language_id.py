@@ -5,9 +5,11 @@ number of rows); a linear softmax over it gives the language. Both factors are t
 descent in numpy on a bounded sample of labelled rows. Because the mean and the linear layer commute, scoring
 uses their product, one row of class scores per hash row: the same function at a few gathers per byte.
 
-Rejection: scores are scaled by a temperature, and the threshold is the score below which held-back training
-rows are wrong more often than right at the stated quantile. A rejected text keeps its best language in
-``lang_pred`` with ``rejected`` set.
+Rejection: scores are scaled by a temperature, and the threshold is the score (as log odds, since probabilities near 1
+round to 1) below which wrong outweighs right: it
+loses the least of the held-back rows predicted right plus of the wrong ones (a share of each). Wrong are held-back rows
+predicted wrong, letter junk, and held-back rows of a language left out of a training of its own. A rejected text
+keeps its best language in ``lang_pred`` with ``rejected`` set.
 
 Defined results: a null text, or one with no letter, gives ``und`` with score 0 and is rejected; with no labelled
 row to learn from every text is ``und``. Repeated rows are scored alike; ties go to the alphabetically first
@@ -38,8 +40,9 @@ SAMPLE, SAMPLE_BYTES = 4000, 2000
 EPOCHS, RATE, BATCH = 6, 2.0, 32
 #: Steps of gradient descent at least: few rows are gone over more often.
 STEPS = 600
-#: Share of correct held-back rows that the rejection threshold may lose.
-LOSS = 0.001
+#: So many languages (those with the most rows) are left out in turn, in trainings of so many steps, and so many held-back
+#: rows of each, and of letter junk, are scored as wrong ones.
+LEFT_OUT, LEFT_OUT_STEPS, WRONG = 4, 150, 200
 
 _U = np.uint64
 
@@ -50,7 +53,7 @@ class Model:
     table: np.ndarray  # ROWS x languages: embeddings times the softmax weights
     bias: np.ndarray
     temperature: float
-    threshold: float
+    threshold: float  # of log odds
 
 
 def subwords(data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -72,7 +75,17 @@ def subwords(data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def score(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(best language's number or -1, its probability) of each text of a large_string slice."""
+    """(best language's number, its probability) of each text of a large_string slice."""
+    best, value = odds(model, column)
+    return best, probability(value)
+
+
+def probability(value: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(value, -700, 700)))
+
+
+def odds(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(best language's number, the log odds of it) of each text of a large_string slice."""
     data, offsets = common.buffer(column)
     n, classes = len(column), len(model.languages)
     total, count = np.zeros((n, classes)), np.zeros(n)
@@ -83,10 +96,11 @@ def score(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             run = np.concatenate([[0.0], np.cumsum(model.table[row, k])])
             total[:, k] += np.diff(run[bounds])
     z = (total / np.maximum(count, 1)[:, None] + model.bias) * model.temperature
-    p = np.exp(z - z.max(1, keepdims=True))
-    p /= p.sum(1, keepdims=True)
-    best = p.argmax(1)
-    return best, p[np.arange(n), best]
+    best = z.argmax(1)
+    top = z[np.arange(n), best]
+    z[np.arange(n), best] = -np.inf
+    next_ = z.max(1, initial=-700.0)
+    return best, top - next_ - np.log(np.exp(z - next_[:, None]).sum(1).clip(1e-300))
 
 
 def train(texts: list[str], languages: list[str], seed: int = 0) -> Model | None:
@@ -100,12 +114,29 @@ def train(texts: list[str], languages: list[str], seed: int = 0) -> Model | None
         data = np.frombuffer(text.encode()[:SAMPLE_BYTES] + b"\n", np.uint8)
         bags.append(np.concatenate([row for _, row in subwords(data)]))
     rng = np.random.default_rng(seed)
-    emb = rng.uniform(-1, 1, (ROWS, WIDTH)) / WIDTH
-    out, bias = np.zeros((WIDTH, len(names))), np.zeros(len(names))
     held = np.arange(len(bags)) % 5 == 4
     learn = np.flatnonzero(~held)
     learn = learn[[len(bags[i]) > 0 for i in learn]] if len(learn) else learn
     epochs = max(EPOCHS, -(-STEPS // (len(learn) // BATCH + 1)))
+    model = Model(names, *_fit(bags, y, len(names), learn, epochs, rng), 1.0, -np.inf)
+    if held.any():
+        column = pa.array([texts[i] for i in np.flatnonzero(held)], pa.large_string())
+        best, grid = None, []
+        for t in (0.5, 1.0, 2.0, 4.0, 8.0, 16.0):
+            model.temperature = t
+            got, value = odds(model, column)
+            right, p = got == y[held], probability(value)
+            grid.append((-np.log(np.clip(np.where(right, p, (1 - p) / max(1, len(names) - 1)), 1e-9, 1)).mean(), t, value[right], value[~right]))
+        best = min(grid, key=lambda g: g[0])
+        model.temperature = best[1]
+        model.threshold = cutoff(best[2], np.concatenate([best[3], *_wrong(model, texts, bags, y, held, learn, rng)]))
+    return model
+
+
+def _fit(bags: list[np.ndarray], y: np.ndarray, classes: int, learn: np.ndarray, epochs: int, rng) -> tuple[np.ndarray, np.ndarray]:
+    """(table, bias) fitted to the rows ``learn``."""
+    emb = rng.uniform(-1, 1, (ROWS, WIDTH)) / WIDTH
+    out, bias = np.zeros((WIDTH, classes)), np.zeros(classes)
     steps, step = epochs * (len(learn) // BATCH + 1), 0
     for _ in range(epochs if len(learn) else 0):
         order = rng.permutation(learn)
@@ -125,19 +156,42 @@ def train(texts: list[str], languages: list[str], seed: int = 0) -> Model | None
             out -= rate * mean.T @ p / len(rows) * 4
             bias -= rate * p.mean(0)
             np.add.at(emb, flat, np.repeat(-rate * 8 * grad / size[:, None], size, axis=0))
-    model = Model(names, emb @ out, bias, 1.0, 0.0)
-    if held.any():
-        column = pa.array([texts[i] for i in np.flatnonzero(held)], pa.large_string())
-        best, grid = None, []
-        for t in (0.5, 1.0, 2.0, 4.0, 8.0, 16.0):
-            model.temperature = t
-            got, p = score(model, column)
-            right = got == y[held]
-            grid.append((-np.log(np.clip(np.where(right, p, (1 - p) / max(1, len(names) - 1)), 1e-9, 1)).mean(), t, p[right]))
-        best = min(grid, key=lambda g: g[0])
-        model.temperature = best[1]
-        model.threshold = float(np.quantile(best[2], LOSS)) * 0.5 if len(best[2]) else 0.0
-    return model
+    return emb @ out, bias
+
+
+def junk(texts: list[str], rng) -> list[str]:
+    """Texts that are no language: of each, words of letters drawn alike, or its own letters in another order."""
+    out = []
+    for k, text in enumerate(texts):
+        letters = list(text)
+        draw = np.array([chr(97 + c) for c in range(26)] if k % 2 else [c for c in letters if c.isalpha()] or ["x"])
+        out.append("".join(c if c.isspace() else str(d) for c, d in zip(letters, rng.choice(draw, len(letters)))))
+    return out
+
+
+def _wrong(model: Model, texts: list[str], bags: list[np.ndarray], y: np.ndarray, held: np.ndarray, learn: np.ndarray, rng) -> list[np.ndarray]:
+    """Log odds of examples that are wrong whatever is predicted: letter junk, and languages left out of the training."""
+    found = np.flatnonzero(held)[: 2 * WRONG]
+    scores = [odds(model, pa.array(junk([texts[i][:SAMPLE_BYTES] for i in found], rng), pa.large_string()))[1]]
+    n = len(model.languages)
+    for left in np.argsort(-np.bincount(y, minlength=n), kind="stable")[:LEFT_OUT] if n > 2 else []:
+        out = np.flatnonzero(held & (y == left))[:WRONG]
+        kept = learn[y[learn] != left]
+        if len(out) and len(kept):
+            epochs = -(-LEFT_OUT_STEPS // (len(kept) // BATCH + 1))
+            table, bias = _fit(bags, y - (y > left), n - 1, kept, epochs, rng)
+            other = Model([x for k, x in enumerate(model.languages) if k != left], table, bias, model.temperature, -np.inf)
+            scores.append(odds(other, pa.array([texts[i] for i in out], pa.large_string()))[1])
+    return scores
+
+
+def cutoff(right: np.ndarray, wrong: np.ndarray) -> float:
+    """The smallest score that loses the least: the share of ``right`` below it and of ``wrong`` at or above it."""
+    if not len(right) or not len(wrong):
+        return -np.inf
+    at = np.unique(np.concatenate([[-np.inf], right, np.nextafter(wrong, np.inf)]))
+    lost = np.searchsorted(np.sort(right), at) / len(right) + 1 - np.searchsorted(np.sort(wrong), at) / len(wrong)
+    return float(at[lost.argmin()])
 
 
 def training_rows(docs: DataFrame) -> tuple[list[str], list[str]]:
@@ -168,18 +222,17 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
         for batch in batches:
             text = common.large(batch.column(1))
             letters = pc.match_substring_regex(text, r"\pL")
-            lang, value = [], []
+            lang, value, low = [], [], np.full(len(text), m is None)
             for a, b in common.slices(text):
                 has = letters.slice(a, b - a).to_numpy(zero_copy_only=False)
                 if m is None:
                     best, p = np.full(b - a, -1), np.zeros(b - a)
                 else:
-                    best, p = score(m, text.slice(a, b - a))
-                    best, p = np.where(has, best, -1), np.where(has, p, 0.0)
+                    best, found = odds(m, text.slice(a, b - a))
+                    best, p, low[a:b] = np.where(has, best, -1), np.where(has, probability(found), 0.0), found < m.threshold
                 lang += [m.languages[i] if i >= 0 else UND for i in best]
                 value.append(p)
             value = np.concatenate(value) if value else np.zeros(0)
-            low = value < m.threshold if m else np.ones(len(value), bool)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(lang, pa.string()), pa.array(value, pa.float64()), pa.array(low | np.array([x == UND for x in lang], bool))],
                 ["doc_id", "held_out", "lang_pred", "score", "rejected"],
@@ -216,7 +269,7 @@ def annotate(docs: DataFrame, model: Model | None) -> DataFrame:
             letters = pc.match_substring_regex(text, r"\pL").to_numpy(zero_copy_only=False)
             lang, low = [], []
             for a, b in common.slices(text):
-                best, p = score(m, text.slice(a, b - a)) if m else (np.full(b - a, -1), np.zeros(b - a))
+                best, p = odds(m, text.slice(a, b - a)) if m else (np.full(b - a, -1), np.zeros(b - a))
                 for i, x, has in zip(best, p, letters[a:b]):
                     known = has and i >= 0
                     lang.append(m.languages[i] if known else UND)

@@ -58,6 +58,20 @@ def test_language_id(spark, docs, empty):
     assert tiny.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.9
 
 
+def test_language_id_rejection():
+    """Junk and a language never learned are rejected, clean texts are not."""
+    rng = np.random.default_rng(5)
+    made = {k: ["".join(rng.choice(list(letters), 5)) for _ in range(80)] for k, letters in {"aa": "abcdefgh", "bb": "ghijklmn", "cc": "mnopqrst", "new": "uvwxyzab"}.items()}
+    text = lambda k: " ".join(rng.choice(made[k], 60))
+    names = [k for k in ("aa", "bb", "cc") for _ in range(100)]
+    names = [names[i] for i in rng.permutation(300)]
+    model = language_id.train([text(k) for k in names], names)
+    low = lambda texts: (language_id.odds(model, pa.array(texts, pa.large_string()))[1] < model.threshold).mean()
+    clean, new = [text(k) for k in ("aa", "bb", "cc") for _ in range(50)], [text("new") for _ in range(50)]
+    assert low(clean) <= 0.05 and low(new) >= 0.8 and low(language_id.junk(new, rng)) >= 0.8
+    assert language_id.cutoff(np.array([3.0, 4.0, 5.0]), np.array([0.0, 1.0, 3.5])) > 1 and language_id.cutoff(np.zeros(0), np.ones(1)) == -np.inf
+
+
 def test_quality(spark, docs, empty):
     model = quality.train(["good words here and there"] * 40 + ["BAD!! TEXT!!"] * 40, [1] * 40 + [0] * 40)
     out = quality.classify(docs, model).collect()
