@@ -207,11 +207,10 @@ def components_by_hand(texts):
     return {i: (len(sets[i]), label[i]) for i in sets}
 
 
-@pytest.mark.parametrize("seed", range(2))
+@pytest.mark.parametrize("seed", range(3))
 def test_jaccard_join(spark, seed, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
-    monkeypatch.setattr(jaccard_join, "PAIRS", 4)
-    monkeypatch.setattr(jaccard_join, "CLUSTER", 1 << (8 if seed else 20))  # small: pairs go by join
+    monkeypatch.setattr(jaccard_join, "UNIT", (4, 1024, 3)[seed])
+    monkeypatch.setattr(jaccard_join, "UNIT_ELEMENTS", (1 << 20, 50, 1 << 20)[seed])
     monkeypatch.setattr(components, "ONE_TASK", 0 if seed else 1 << 18)
     rng = np.random.default_rng(seed)
     texts = []
@@ -233,22 +232,62 @@ def test_jaccard_join_cases(spark, docs, empty):
     assert out.count() == docs.count() and jaccard_join.join(empty).count() == 0
     by = {r["doc_id"]: r["component_id"] for r in out.collect()}
     assert by[5] == 4 and by[0] == 0
-    assert sorted(r["doc_id"] for r in jaccard_join.stage(spark, docs, "").collect()) == sorted([*(i for i in range(len(TEXTS)) if i != 5), 4, 8])
+    base = [f"w{i}" for i in range(60)]
+    rows = [(None, " ".join(base)), (2, " ".join([*base[:-1], "x"])), (3, " ".join(base)), (None, "quite another text of some words")]
+    got = jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r["doc_id"]), str(r["component_id"])) for r in got) == [("2", "2"), ("3", "2"), ("None", "2"), ("None", "None")]
+
+
+def test_jaccard_join_clashing_class_ids(spark, monkeypatch):
+    """Different sets of one class id are told apart by the second one."""
+    plain = jaccard_join.class_ids
+    monkeypatch.setattr(jaccard_join, "class_ids", lambda s: (plain(s)[0] % 2, plain(s)[1]))
+    texts = [(i, f"some words of text {i // 2} and then {'many more ' * (i // 2)} at the end of it") for i in range(8)]
+    batch = pa.RecordBatch.from_arrays([pa.array([t[1] for t in texts])], ["text"])
+    for clashing in (frozenset(), frozenset({0, 1})):
+        found = [jaccard_join.class_id(s, clashing) for _, _, sets in jaccard_join._texts([batch]) for s in sets]
+        assert len(set(found)) == (4 if clashing else 2)
+
+
+def test_jaccard_join_stage(spark, docs, empty):
+    """Rows go, not ids: one row of each component stays, and no text that stands alone is lost."""
+    assert sorted(r["doc_id"] for r in jaccard_join.stage(spark, docs, "").collect()) == [i for i in range(len(TEXTS)) if i != 5]
+    assert jaccard_join.stage(spark, docs, "").columns == docs.columns and jaccard_join.stage(spark, empty, "").count() == 0
+    kept = lambda rows: sorted(tuple(map(str, r)) for r in jaccard_join.stage(spark, spark.createDataFrame(rows, "doc_id long, text string, _doc int"), "").collect())
+    assert kept([(3, "a b c d e f g", 1), (7, "a b c d e f g", 1), (7, "q r s t u v w x y", 1)]) == [("3", "a b c d e f g", "1"), ("7", "q r s t u v w x y", "1")]
+    assert kept([(3, "a b c d e f g", 1), (3, "A B c d e f g", 1)]) in ([("3", t, "1")] for t in ("a b c d e f g", "A B c d e f g"))
+    assert kept([(3, "a b c d e f g", 1)] * 3 + [(None, "a b c d e f g", 1), (None, "h i j k l m", 1), (None, None, 1), (4, None, 1)]) == [("3", "a b c d e f g", "1"), ("4", "None", "1"), ("None", "None", "1"), ("None", "h i j k l m", "1")]
 
 
 def test_signature_tree():
     rng = np.random.default_rng(0)
     sets = [np.unique(rng.integers(0, 1 << 63, rng.integers(1, 200)).astype(np.uint64)) for _ in range(60)]
     sets += [np.unique(np.concatenate([s[: max(1, int(len(s) * rng.uniform(0.7, 1)))], rng.integers(0, 1 << 63, 2).astype(np.uint64)])) for s in sets]
-    n, bits = np.array([len(s) for s in sets]), np.array([st.bitmap(s) for s in sets])
-    x, y = st.pairs(*[st.Tree(n, bits, np.arange(len(sets)))] * 2, True)
-    got = {frozenset(p) for p in zip(x.tolist(), y.tolist())}
-    for a, b in itertools.combinations(range(len(sets)), 2):
-        if st.linked(len(np.intersect1d(sets[a], sets[b])), n[a], n[b]):
-            assert frozenset((a, b)) in got
-            assert st.may_link(st.wide_bitmap(sets[a]), st.wide_bitmap(sets[b]), n[a], n[b])
-    assert len(got) < len(sets) ** 2 / 8
-    assert not len(st.pairs(*[st.Tree(n, bits, np.zeros(len(sets), int))] * 2, True)[0])  # one component: nothing to do
+    rows = [(i, i, len(s), s[0], st.signature(s)) for i, s in enumerate(sets)]
+    p, q, _ = st.trees(rows, rows, True)
+    got = {frozenset(z) for x, y in st.pairs(p, q, True) for z in zip(x.tolist(), y.tolist())}
+    true = {frozenset((a, b)) for a, b in itertools.combinations(range(len(sets)), 2) if st.linked(len(np.intersect1d(sets[a], sets[b])), len(sets[a]), len(sets[b]))}
+    assert true <= got and len(got) < len(sets) ** 2 / 8
+    assert all(st.may_link(rows[a][4], rows[b][4], rows[a][2], rows[b][2]) for a, b in true)
+    assert {i for z in got for i in z} == set(st.partnered(rows, rows, True))
+    assert st.trees([(i, 7, *r[2:]) for i, r in enumerate(rows)], [], True) is None  # one component: nothing to do
+
+    def joined(links, start):
+        label = dict(start)
+        for a, b in links:
+            old, new = label[a], label[b]
+            label = {k: new if v == old else v for k, v in label.items()}
+        return {frozenset(k for k in label if label[k] == v) for v in label.values()}
+
+    for start in ({i: i for i in range(len(sets))}, {i: i % 7 for i in range(len(sets))}):
+        named = [(i, start[i], s) for i, s in enumerate(sets)]
+        found = st.search(named, named, True)
+        assert joined(found, start) == joined(true, start) and len(found) < len(sets) and {frozenset(x) for x in found} <= true
+        two = st.search(named[:50], named[50:], False)
+        assert joined(two, start) == joined([z for z in map(sorted, true) if z[0] < 50 <= z[1]], start)
+    long = [np.unique(rng.integers(0, 1 << 63, 4000).astype(np.uint64)) for _ in range(40)]  # long and different: bitmaps grow with them
+    rows = [(i, i, len(s), s[0], st.signature(s)) for i, s in enumerate(long)]
+    assert not st.partnered(rows, rows, True)
 
 
 def test_packing(spark, docs, empty):
