@@ -75,7 +75,7 @@ def _words(tokenizer, ends: np.ndarray, words: list[bytes]) -> dict[bytes, bytes
         some = words[at : at + JOINED]
         ids = np.array(tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, np.uint32)
         cut = np.flatnonzero(ends[ids]) + 1
-        if len(cut) != len(some) or cut[-1] != len(ids):  # a letter whose lower case is no letter
+        if len(cut) != len(some) or cut[-1] != len(ids):  # every word has one end at least, so none has two where the counts agree
             out |= _whole(tokenizer, some)
             continue
         raw, start = ids.tobytes(), 0
@@ -85,11 +85,25 @@ def _words(tokenizer, ends: np.ndarray, words: list[bytes]) -> dict[bytes, bytes
     return out
 
 
+def _letters(tokenizer, ends: np.ndarray, chars: set[str]) -> dict[str, bool]:
+    """Of characters: does the tokenizer keep it in a word with letters beside it, and apart from punctuation after it?
+
+    Its own tables decide: a capital may have a lower case that ends in a mark, which goes with the punctuation.
+    """
+    known = common.REMEMBERED.setdefault("packing", {}).setdefault("letters", {})
+    new = [c for c in chars if c not in known]
+    for at in range(0, len(new), 4096):
+        some = new[at : at + 4096]
+        for c, e in zip(some, tokenizer.encode_batch_fast([f"a{c}a{c}." for c in some], add_special_tokens=False)):
+            known[c] = c.isalpha() and int(ends[e.ids].sum()) == 2
+    return known
+
+
 def encode(texts: list[bytes], path: str, word_ids: dict[bytes, bytes], remembered: int = REMEMBERED) -> list[bytes]:
     """Little-endian unsigned 32-bit ids of each text.
 
-    A chunk of letters and closing punctuation is its word's ids (lower-cased, as the tokenizer does) and its tail's;
-    any other chunk is encoded as it stands. ``word_ids`` remembers words from call to call.
+    A chunk of letters (see ``_letters``) and closing punctuation is its word's ids (lower-cased, as the tokenizer does) and its
+    tail's; any other chunk is encoded as it stands. ``word_ids`` remembers words from call to call.
     """
     tokenizer, ends = _tokenizer(path)
     if len(word_ids) > remembered:
@@ -97,7 +111,10 @@ def encode(texts: list[bytes], path: str, word_ids: dict[bytes, bytes], remember
     chunks = [t.split() for t in texts]
     seen = list(set().union(*chunks))
     cores = [w.lower().rstrip(TAIL) for w in seen]
-    new = [c for c in set(cores).difference(word_ids) if c.isalpha() or c and not c.isascii() and c.decode().isalpha()]
+    new = [c for c in set(cores).difference(word_ids) if c]
+    wide = {c: c.decode() for c in new if not c.isascii()}
+    letter = _letters(tokenizer, ends, set().union(*wide.values()))
+    new = [c for c in new if (all(map(letter.__getitem__, wide[c])) if c in wide else c.isalpha())]
     word_ids.update(_words(tokenizer, ends, new))
     here, odd, tails = {}, [], {b"": b""}
     for w, core in zip(seen, cores):
