@@ -1,8 +1,8 @@
-"""Packed vector blocks: rows of at most a few hundred vectors as one matrix, and query blocks met with them.
+"""A grid of candidate lanes and query blocks: a stated query set meets all rows, block by block.
 
-A stated query set meets all rows block by block: every query block is replicated over SALTS lanes, every candidate
-block goes to one lane of each query block, and the pair is an equi-join on (query block, lane). A task sees its
-tiles one after another and keeps only the best few of each query, so its memory and its output are bounded.
+Candidate vectors are dealt to lanes once and held there, in their compact form; the query vectors go to every lane and stream
+by. So what is sent grows with the candidates plus the queries times the lanes, a task holds no more than its lane (about HELD
+vectors) and one query block, and it gives a few rows of each query.
 """
 
 from __future__ import annotations
@@ -11,13 +11,14 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import common
 
-#: Vectors to a candidate block and to a query block.
-ROWS, QUERIES_ROWS = 1024, 512
+#: Candidate vectors of a lane, about; queries of a block; candidates of a tile.
+HELD, QUERIES_ROWS, TILE = 1 << 18, 512, 4096
 
 
 def usable(column: pa.ListArray, zero: bool) -> tuple[np.ndarray, np.ndarray, list]:
@@ -35,61 +36,79 @@ def usable(column: pa.ListArray, zero: bool) -> tuple[np.ndarray, np.ndarray, li
     return np.array(rows, np.int64), np.array([len(v) for v in views], np.int64), views
 
 
-def pack(df: DataFrame, rows: int, zero: bool, single: bool) -> DataFrame:
-    """(dim, n, ids, vectors) blocks from (id, vector); ``single``: components are floats, else doubles."""
-    kind = np.float32 if single else np.float64
+def numbered(vectors: DataFrame, queries: Column, id_column: str, vector: str, zero: bool, code: Callable, fields: str, names: list[str]) -> DataFrame:
+    """(r, id, dim, is_query, ...) of every usable row: r is its number, ``code(matrix)`` gives the columns of its compact form."""
 
     def run(batches):
-        held: dict[int, tuple[list, list]] = {}
+        r = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            at, dims, views = usable(batch.column(1), zero)
+            known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            for dim in np.unique(dims):
+                mine = [k for k in np.flatnonzero(dims == dim) if known[at[k]]]
+                if mine:
+                    rows = pa.array(at[mine])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.arange(r, r + len(mine))), batch.column(0).take(rows), pa.array(np.full(len(mine), dim)), batch.column(2).take(rows), *code(np.stack([views[k] for k in mine]))],
+                        ["r", "id", "dim", "is_query", *names],
+                    )
+                    r += len(mine)
 
-        def block(dim):
-            ids, vs = held.pop(dim)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([dim], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([np.array(vs, kind).tobytes()], pa.binary())],
-                ["dim", "n", "ids", "vectors"],
-            )
+    both = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector).alias("v"), F.coalesce(queries, F.lit(False)).alias("is_query"))
+    return common.settle(both.mapInArrow(run, f"r long, id long, dim long, is_query boolean, {fields}"), "vectors")
 
-        for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for i, dim, v in zip(*usable(batch.column(1), zero)):
-                if ids[i] is None:
-                    continue
-                some = held.setdefault(int(dim), ([], []))
-                some[0].append(ids[i])
-                some[1].append(v.astype(kind))
-                if len(some[0]) == rows:
-                    yield block(int(dim))
-        for dim in list(held):
-            yield block(dim)
-
-    return df.mapInArrow(run, "dim long, n long, ids binary, vectors binary")
-
-
-def paired(candidates: DataFrame, queries: DataFrame, extra: list[str] | None = None) -> DataFrame:
-    """(qb, dim, q_ids, q_vectors, ids, vectors, ...) tiles: every candidate block with every query block of its dim."""
-    lanes = common.partitions(candidates)
-    q = common.settle(queries.withColumn("qb", F.monotonically_increasing_id()), "query-blocks")
-    # what a candidate block needs to know of the query blocks: their numbers, a few bytes for QUERIES_ROWS queries
-    numbers = q.select("dim", "qb")
-    lane = F.pmod(F.xxhash64("ids"), F.lit(lanes)).cast("int")
-    c = candidates.withColumn("lane", lane)
-    lane_rows = numbers.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
-    keyed = c.join(lane_rows, ["dim", "lane"])
-    out = q.select("qb", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), *(extra or []), F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"))
-    return keyed.join(out, ["qb", "lane"]).select("qb", "dim", "q_ids", "q_vectors", *(extra or []), "ids", "vectors")
-
-
-def merged(tiles: DataFrame, tile: Callable, schema: str, names: list[str], finish: Callable) -> DataFrame:
-    """Runs ``tile(state, row)`` over a task's tiles, one state for each query block, then ``finish(state)`` rows."""
 
-    def run(batches):
-        states: dict[int, dict] = {}
+def asked(rows: DataFrame) -> DataFrame:
+    """The rows that are queries: of several with one id, the first."""
+    first = rows.where("is_query").groupBy("id").agg(F.min("r").alias("r"))
+    return common.settle(rows.join(first.select("r"), "r", "left_semi"), "queries")
+
+
+def raw(rows: list[np.ndarray | bytes]) -> pa.Array:
+    return pa.array([x if isinstance(x, bytes) else x.tobytes() for x in rows], pa.binary())
+
+
+def lanes(rows: DataFrame) -> int:
+    return max(common.partitions(rows), -(-rows.count() // HELD))
+
+
+def grid(rows: DataFrame, queries: DataFrame, columns: list[str], run: Callable, schema: str, extra: list[str] | None = None) -> DataFrame:
+    """``run(held, block)`` for every lane and query block of one dimension: both are dicts of arrays and lists by column (``held`` keeps
+    what ``run`` puts there); it gives Arrow columns of ``schema``. ``extra`` columns are the queries' own."""
+    extra = extra or []
+    n = lanes(rows)
+    kept = ["r", "id", *columns]
+    types = {**dict(queries.dtypes)}
+    c = rows.select("dim", F.pmod(F.xxhash64("r"), F.lit(n)).cast("int").alias("lane"), F.lit(0).alias("kind"), *kept, *[F.lit(None).cast(types[x]).alias(x) for x in extra])
+    q = queries.select("dim", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("lane"), F.lit(1).alias("kind"), *kept, *extra)
+    names = [x.strip().split(" ")[0] for x in schema.split(",")]
+
+    def task(batches):
+        now, held, block, size = None, None, None, 0
+
+        def fresh():
+            return {x: [] for x in kept + extra}
+
+        def tell():
+            columns = run(held, block) if len(held["id"]) and len(block["id"]) else None
+            return [pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names)] if columns and len(columns[0]) else []
+
         for batch in batches:
-            for row in batch.to_pylist():
-                tile(states.setdefault(row["qb"], {}), row)
-        for state in states.values():
-            columns = finish(state)
-            if columns and len(columns[0]):
-                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names)
-
-    return tiles.mapInArrow(run, schema)
+            for dim, lane, kind, *values in zip(*(x.to_pylist() for x in batch.columns)):
+                if (dim, lane) != now:
+                    if now is not None:
+                        yield from tell()
+                    now, held, block = (dim, lane), fresh() | {"dim": dim}, fresh() | {"dim": dim}
+                if kind == 1 and len(block["id"]) == QUERIES_ROWS:
+                    yield from tell()
+                    block = fresh() | {"dim": dim}
+                to = block if kind else held
+                for x, value in zip(kept + extra, values):
+                    to[x].append(value)
+        if now is not None:
+            yield from tell()
+
+    dealt = common.bounded(c.unionByName(q)).repartition(n, "dim", "lane").sortWithinPartitions("dim", "lane", "kind")
+    return common.settle(dealt.mapInArrow(task, schema), "grid")
+
+

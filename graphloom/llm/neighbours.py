@@ -1,10 +1,11 @@
 """Nearest neighbours by block matrix join: int8 product tiles, error bounds, float recomputation, heap merge.
 
-Vectors are quantised to int8 with a scale of their own. A tile of query and candidate blocks multiplies the int8
-matrices; since x = s q + e with a known norm of e, the product gives each distance an interval: the distance of the
-quantised vectors, plus or minus both error norms. A pair survives if its lower end does not exceed the k-th smallest
-upper end seen so far. Survivors are recomputed in double precision from the original vectors and merged, so the
-result is exact; the int8 tiles only decide what needs no recomputation.
+Vectors are quantised once to int8 with a scale of their own; only the codes, scales and error norms go to the tiles. A tile of
+query and candidate blocks multiplies the int8 matrices; since x = s q + e with a known norm of e, the product gives each distance
+an interval: the distance of the quantised vectors, plus or minus both error norms. A pair survives if its lower end does
+not exceed the k-th smallest upper end, first of its lane and then of all lanes. Survivors are joined with the original vectors,
+recomputed in double precision, and merged by a heap of k entries for each query, so the result is exact; the int8 tiles only
+decide what needs no recomputation.
 
 Defined results: vectors that are null, empty, zero or hold a null or non-finite component take no part, nor do rows
 without an id; vectors of another dimension are no candidates of a query; ties go to the smaller id; repeated rows
@@ -14,7 +15,10 @@ give fewer rows; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,8 +27,6 @@ from graphloom.llm import blocks, common
 
 K = 10
 EVERY = 100
-#: Candidates recomputed at once, in doubles.
-PIECE = 1 << 21
 
 
 def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -48,49 +50,74 @@ def exact(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(total)
 
 
+def _code(x: np.ndarray) -> list[pa.Array]:
+    codes, scale, error = quantised(x)
+    return [blocks.raw(list(codes)), pa.array(scale), pa.array(error), blocks.raw(list(x))]
+
+
+def _matrix(side: dict) -> dict:
+    if "m" not in side:
+        side["m"] = np.frombuffer(b"".join(side.pop("codes")), np.int8).reshape(-1, side["dim"])
+        side["r"], side["id"], side["scale"], side["error"] = np.array(side["r"]), np.array(side["id"]), np.array(side["scale"]), np.array(side["error"])
+        side["norm"] = (side["m"].astype(np.float32 if side["dim"] * 127 * 127 < 1 << 24 else np.float64) ** 2).sum(1).astype(np.float64) * side["scale"] ** 2
+    return side
+
+
 def _tile(k: int):
-    def run(state: dict, row: dict) -> None:
-        ids = np.frombuffer(row["ids"], np.int64)
-        y = np.frombuffer(row["vectors"], np.float64).reshape(len(ids), -1)
-        if not state:
-            q = np.frombuffer(row["q_ids"], np.int64)
-            x = np.frombuffer(row["q_vectors"], np.float64).reshape(len(q), -1)
-            state |= {"q": q, "x": x, "quant": quantised(x), "best": np.full((len(q), k), np.inf), "id": np.full((len(q), k), np.iinfo(np.int64).max)}
-        q, x, (qx, sx, ex) = state["q"], state["x"], state["quant"]
-        qy, sy, ey = quantised(y)
-        nx, ny = (qx.astype(np.float64) ** 2).sum(1) * sx**2, (qy.astype(np.float64) ** 2).sum(1) * sy**2
-        square = nx[:, None] + ny[None, :] - 2 * product(qx, qy) * (sx[:, None] * sy[None, :])
-        slack = 1e-9 * (np.sqrt(nx)[:, None] + np.sqrt(ny)[None, :]) + 1e-7 * np.sqrt(np.maximum(nx[:, None], ny[None, :]))
-        near, off = np.sqrt(np.maximum(square, 0)), ex[:, None] + ey[None, :] + slack
-        own = q[:, None] == ids[None, :]
-        upper = np.where(own, np.inf, near + off)
-        limit = np.partition(np.concatenate([upper, state["best"]], 1), k - 1, axis=1)[:, k - 1]
-        survive = (near - off <= limit[:, None]) & ~own
-        rows, cols = np.nonzero(survive)
-        step = max(1, PIECE // x.shape[1])
-        distance = np.concatenate([exact(x[rows[i : i + step]], y[cols[i : i + step]]) for i in range(0, len(rows), step)]) if len(rows) else np.zeros(0)
-        all_rows = np.concatenate([rows, np.repeat(np.arange(len(q)), k)])
-        all_d, all_id = np.concatenate([distance, state["best"].ravel()]), np.concatenate([ids[cols], state["id"].ravel()])
-        order = np.lexsort((all_id, all_d, all_rows))
-        first = np.searchsorted(all_rows[order], np.arange(len(q)))  # every query has its k old entries
-        take = order[(first[:, None] + np.arange(k)).ravel()]
-        state["best"], state["id"] = all_d[take].reshape(-1, k), all_id[take].reshape(-1, k)
+    """(q, r, low, high) of the pairs of a lane that may be among the k nearest: the ends of their distances' intervals."""
+
+    def run(held: dict, block: dict) -> list:
+        c, q = _matrix(held), _matrix(block)
+        upper = np.full((len(q["id"]), k), np.inf)
+        found = []
+        for at in range(0, len(c["id"]), blocks.TILE):
+            some = slice(at, at + blocks.TILE)
+            square = q["norm"][:, None] + c["norm"][some] - 2 * product(q["m"], c["m"][some]) * (q["scale"][:, None] * c["scale"][some])
+            size = np.sqrt(q["norm"])[:, None], np.sqrt(c["norm"][some])[None, :]
+            slack = 1e-9 * (size[0] + size[1]) + 1e-7 * np.maximum(*size)
+            near, off = np.sqrt(np.maximum(square, 0)), q["error"][:, None] + c["error"][some] + slack
+            own = q["id"][:, None] == c["id"][some]
+            high = np.where(own, np.inf, near + off)
+            upper = np.partition(np.concatenate([upper, high], 1), k - 1, axis=1)[:, :k]
+            rows, cols = np.nonzero((near - off <= upper.max(1)[:, None]) & ~own)
+            found.append((rows, cols + at, (near - off)[rows, cols], high[rows, cols]))
+        rows, cols, low, high = (np.concatenate(x) for x in zip(*found))
+        on = low <= upper.max(1)[rows]
+        return [q["r"][rows[on]], c["r"][cols[on]], low[on], high[on]]
 
     return run
 
 
-def _finish(state: dict):
-    k = state["best"].shape[1]
-    some = np.isfinite(state["best"]).ravel()
-    return [np.repeat(state["q"], k)[some], state["id"].ravel()[some], state["best"].ravel()[some]]
+def _heaps(k: int):
+    """(query_id, vec_id, score): of every query, the k nearest pairs of a task by exact distance."""
+
+    def run(batches):
+        heaps: dict[int, list] = {}
+        for batch in batches:
+            q, v, x, y = (batch.column(i).to_pylist() for i in range(4))
+            for dim in {len(z) for z in x}:
+                at = [i for i, z in enumerate(x) if len(z) == dim]
+                d = exact(*(np.frombuffer(b"".join(z[i] for i in at), np.float64).reshape(len(at), -1) for z in (x, y)))
+                for i, score in zip(at, d.tolist()):
+                    heap = heaps.setdefault(q[i], [])
+                    (heapq.heappush if len(heap) < k else heapq.heappushpop)(heap, (-score, -v[i]))  # the farthest, of ties the larger id, is on top
+        rows = [(q, -v, -d) for q, heap in heaps.items() for d, v in heap]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64())], ["query_id", "vec_id", "score"])
+
+    return run
 
 
 def search(vectors: DataFrame, queries: Column, k: int = K, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows of ``vectors`` to each row that ``queries`` holds for."""
-    both = vectors.select(F.col(id_column).alias("id"), F.col(vector).alias("v"), queries.alias("is_query"))
-    c = common.settle(blocks.pack(both.select("id", "v"), blocks.ROWS, False, False), "vector-blocks")
-    q = blocks.pack(both.where("is_query").select("id", "v").dropDuplicates(["id"]), blocks.QUERIES_ROWS, False, False).select("dim", "ids", "vectors")
-    best = blocks.merged(blocks.paired(c, q), _tile(k), "query_id long, vec_id long, score double", ["query_id", "vec_id", "score"], _finish)
+    rows = blocks.numbered(vectors, queries, id_column, vector, False, _code, "codes binary, scale double, error double, v binary", ["codes", "scale", "error", "v"])
+    asked = blocks.asked(rows)
+    near = blocks.grid(rows, asked, ["codes", "scale", "error"], _tile(k), "q long, r long, low double, high double")
+    limit = near.withColumn("n", F.row_number().over(W.partitionBy("q").orderBy("high"))).where(F.col("n") <= k).groupBy("q").agg(F.max("high").alias("limit"), F.count(F.lit(1)).alias("n"))
+    left = near.join(limit, "q").where((F.col("low") <= F.col("limit")) | (F.col("n") < k)).select("q", "r")
+    left = common.settle(left, "survivors").join(rows.select("r", F.col("id").alias("vec_id"), F.col("v").alias("y")), "r")
+    left = left.join(asked.select(F.col("r").alias("q"), F.col("id").alias("query_id"), F.col("v").alias("x")), "q").select("query_id", "vec_id", "x", "y")
+    best = common.bounded(left).mapInArrow(_heaps(k), "query_id long, vec_id long, score double")
     order = W.partitionBy("query_id").orderBy("score", "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.llm import boosting, components, jaccard_join, language_id, licenses, mixing, neighbours, packing, pii, quality, secrets, topk
+from graphloom.llm import blocks, boosting, components, jaccard_join, language_id, licenses, mixing, neighbours, packing, pii, quality, secrets, topk
 from graphloom.llm import signature_tree as st
 
 TINY = "/root/testdata/sf0.001"
@@ -312,6 +312,21 @@ def test_packing(spark, docs, empty):
     assert packing.stage(spark, empty, "").count() == 0
 
 
+def test_encode_fuzz():
+    """The ids by words are the tokenizer's own, over Unicode: capitals with marks, composed letters, odd spaces, special tokens."""
+    from tokenizers import Tokenizer
+
+    path = packing.tokenizer_path()
+    tokenizer, rng, known = Tokenizer.from_file(path), np.random.default_rng(11), {}
+    some = [*"abcXYZ .,!?;:*#$%&)('\"-0123456789 \n\t  éÉßİıǄﬁŁøñΣσςдЖЯẞאبहि中あ가각\u0301\u0307\u0323\u0338=<\u00a0\u2003\u0085\u200b\u1100\u1161\x1c\U0001f600\U00010400", "<|endoftext|>", "'s", "'LL", " the", "MERKEZİ.", "i̇", "٣", "²"]
+    wide = [chr(c) for c in rng.integers(33, 0x30000, 3000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(rng.choice(some, rng.integers(1, 25))) for _ in range(9000)] + [f"ab{c}. {c}a, {c}{d}! {d}" for c, d in zip(wide[::2], wide[1::2])]
+    texts += ["MERKEZİ.", "TARİHİ, ve", "İİ!", "aİ"]
+    got = packing.encode([t.encode() for t in texts], path, known) + packing.encode([t.upper().encode() for t in texts], path, known)
+    for t, ids in zip([*texts, *(t.upper() for t in texts)], got):
+        assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def test_fullest():
     rng = np.random.default_rng(0)
     for _ in range(100):
@@ -377,13 +392,43 @@ def test_topk(spark):
     assert topk.search(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_search_over_lanes(spark, monkeypatch):
+    """Several lanes, tiles and query blocks, repeated rows and ids, and large components, against brute force."""
+    monkeypatch.setattr(blocks, "HELD", 40)
+    monkeypatch.setattr(blocks, "TILE", 16)
+    monkeypatch.setattr(blocks, "QUERIES_ROWS", 3)
+    rng = np.random.default_rng(8)
+    rows = [(int(i), [float(x) for x in rng.integers(-3, 4, 5) * scale]) for i, scale in zip(rng.integers(0, 120, 300), rng.choice([0.25, 1.0, 400.0], 300))]
+    rows += rows[:20]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    used = [(i, np.array(x)) for i, x in rows if any(x)]
+    got = {}
+    for r in neighbours.search(df, F.col("vec_id") % 10 == 0).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    for q, mine in got.items():
+        # of several rows with the id, one is the query: the result is that of one of them
+        want = [[(d, i) for d, i in sorted((float(np.sqrt(((v - x) ** 2).sum())), i) for i, x in used if i != q)[:10]] for j, v in used if j == q]
+        mine = sorted(mine)
+        assert any([m[1] for m in mine] == [i for _, i in w] and np.allclose([m[2] for m in mine], [d for d, _ in w]) for w in want)
+    assert set(got) == {i for i, _ in used if i % 10 == 0}
+    got = {}
+    for r in topk.search(df, F.col("vec_id") % 10 == 0).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    whole = [(i, np.floor(256 * np.array(x)).astype(int)) for i, x in rows]
+    for q, mine in got.items():
+        want = [[(i, -s) for s, i in sorted((-int(v @ x), i) for i, x in whole if i != q)[:5]] for j, v in whole if j == q]
+        assert any([m[1:] for m in sorted(mine)] == w for w in want)
+    assert set(got) == {i for i, _ in rows if i % 10 == 0}
+
+
 def test_topk_repeated_ids(spark):
     """Repeated ids are candidates each: rows of one id, alike or not, do not raise the cutoff together."""
     rng = np.random.default_rng(4)
     alike = [(1, (100, -100)), (1, (100, -100)), (2, (75, 60)), (3, (75, 60)), (4, (75, 60)), (5, (60, 60)), (6, (70, -25)), (7, (0, 0))]
     unlike = [(i, x) for i in range(1, 6) for x in ((100, -100), (-100, 100))] + [(i, (45, 45)) for i in range(6, 11)]
     drawn = [(int(rng.integers(1, 12)), tuple(map(int, rng.integers(-9, 10, 2)))) for _ in range(60)]
-    for rows in (alike, unlike, drawn):
+    few = [(1, (0, 0)), (2, (0, 0)), (2, (-3, 1))]  # fewer than k
+    for rows in (alike, unlike, drawn, few):
         df = spark.createDataFrame([(0, [1.0, 1.0]), *((i, [float(a), float(b)]) for i, (a, b) in rows)], "vec_id long, embedding array<double>").repartition(3)
         got = [(r["vec_id"], r["score"]) for r in topk.search(df, F.col("vec_id") == 0).orderBy("rank").collect()]
         assert got == [(i, -s) for s, i in sorted((-(256**2) * (a + b), i) for i, (a, b) in rows)[:5]]
