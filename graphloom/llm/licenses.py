@@ -1,18 +1,23 @@
 """Licence scans: a trained paragraph classifier in DataFrame functions, confirmed against templates.
 
 A paragraph ends at a blank line; comment prefixes are dropped and its wrapped lines joined. Its lines, its sentences
-and the paragraph as a whole are candidates where they hold a cue word: a notice may fill a line, be wrapped, or stand
-in a longer paragraph. The classifier's features are the word n-grams (1 to 3 words) of
-such paragraphs, and every licence it knows is named by a cue, so a paragraph without one is unknown by definition. A multinomial logistic regression over these sparse n-grams, trained in numpy on the templates below,
-their mutilations, and cue-bearing text that is no licence (the ``unknown`` class), identifies the family. Its
+and the paragraph as a whole are candidates: a notice may fill a line, be wrapped, or stand in a longer paragraph. The
+classifier's features are the word n-grams (1 to 3 words). A multinomial logistic regression over these sparse n-grams, trained in
+numpy on the templates below, their mutilations, and text that is no licence (the ``unknown`` class), identifies the family. Its
 weights are a table of bounded size (the n-grams of the training texts) that is broadcast and joined; scores
-are sums, the softmax and the threshold are column expressions. The threshold is calibrated on held-back examples. A
-predicted family is confirmed when enough of the 3-word n-grams of its closest template are in the paragraph.
+are sums, the softmax and the threshold are column expressions.
+
+Unknown: the threshold is the score that loses the least of held-back notices (a share) plus of held-back texts that are none, among them
+notices of families left out of a training of their own. A predicted family is a notice only if it is confirmed: enough of the
+3-word n-grams of its closest template are in the candidate; an unconfirmed one is given as ``suspected``.
+
+Screen: the weights tell which words a candidate must hold one of to reach the threshold for any family (``screen``). Candidates
+without any are unknown whatever else they hold, so their n-grams are not made; no decision is changed by that.
 
 Defined results: null and empty texts have no licence; repeated rows give repeated results; of several paragraphs the
 confirmed, then the most probable decides (ties: the earlier one); extra columns are ignored; an empty table
 gives an empty result. ``n_notices`` counts, in each paragraph with a notice, the sentences that are one or the
-confirmed lines, whichever are more, and one at least.
+lines, whichever are more, and one at least.
 """
 
 from __future__ import annotations
@@ -50,24 +55,27 @@ TEMPLATES = (
     ("ISC", "Released under the ISC License."),
     ("Unlicense", "This is free and unencumbered software released into the public domain under the Unlicense license."),
 )
-#: Text with cues that is no licence notice.
+#: Text that is no licence notice, with words of notices and without.
 OTHERS = (
     "the driver license was renewed last week", "a license plate in the street", "he lost his fishing license and the permit", "license to build a house near the public road",
     "the warranty covers the first version of the product", "copyright law is taught in this course", "all rights of the public are protected", "she has poetic license with the terms of the story",
     "the license fee for the software was high", "an open source project without a licence", "under the terms of the agreement", "released under the new version of the rules", "the general public was free to come",
+    "this text is about the work of a creative person", "the source of the river is in the mountains", "a copy of the file was found in the use of the software", "it is free of charge for any person",
+    "the foundation of the house was built in the first year", "you may not use the road except on foot", "the domain of the king was open to the commons", "the form of the code is subject to change",
+    "the library of the university lends books", "mit der neuen version", "the attribution of the painting is in doubt", "redistribution of income and of land", "an international agreement on trade", "the apache people lived there", "a modification of the binary system",
 )
+#: Words that any text may hold: the screen does without them where it can.
+PLAIN = "the of and to in that it is was for on with this under as by or are form person into be from an at which not you may any can use free work text public".split()
 UNKNOWN = "unknown"
 #: The parts of a paragraph that are candidates.
 LINE, SENTENCE, WHOLE = range(3)
 COMMENT = r"(?m)^[ \t]*(?:/\*+|\*+/?|//+|#+|;+|--+|%+|>+|<!--|dnl\b|REM\b)[ \t]*"
-CUE = r"(?i)licen[cs]|gnu|copyright|redistribut|unlicense|creative commons|public domain|spdx"
-#: The cue in a text whose lines are not joined yet.
-WRAPPED_CUE = CUE.replace(" ", r"\s(?:[^\S\n]|[\n/*#;%>-]|dnl\b|REM\b)*")
 WORD = r"[a-z0-9.+-]*[a-z0-9]"
 GRAMS = 3
 #: Share of the closest template's 3-word n-grams that confirms a prediction; longest paragraph n-grams are unbounded.
 CONFIRM = 0.6
-EPOCHS, RATE, DECAY = 300, 0.5, 1e-3
+#: Steps, their length, and the penalty of a weight, which leaves few n-grams that tell families from other text.
+EPOCHS, RATE, SPARSE = 300, 0.5, 0.01
 
 
 def grams_of(text: str) -> list[str]:
@@ -79,23 +87,46 @@ def _examples(seed: int = 3) -> tuple[list[str], list[str]]:
     rng = np.random.default_rng(seed)
     texts, labels = [], []
     noise = lambda k: " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 8))) for _ in range(k))
+    plain = [w for t in OTHERS for w in t.split()]
     for _ in range(12):
         for family, text in (*TEMPLATES, *((UNKNOWN, x) for x in OTHERS)):
             words = text.split()
             if rng.random() < 0.5 and len(words) > 8:
                 words = [w for w in words if rng.random() > 0.1]
-            texts.append(" ".join([noise(rng.integers(0, 4)), *words, noise(rng.integers(0, 4))]))
+            around = [rng.choice(plain, rng.integers(0, 16) * (family != UNKNOWN and rng.random() < 0.5)) for _ in range(2)]
+            texts.append(" ".join([noise(rng.integers(0, 4)), *around[0], *words, *around[1], noise(rng.integers(0, 4))]))
             labels.append(family)
-        texts.append("license " + noise(6))
-        labels.append(UNKNOWN)
+        for _, text in TEMPLATES:  # a few words of a notice are none
+            words = text.split()
+            at = int(rng.integers(0, max(1, len(words) - 2)))
+            texts.append(" ".join([noise(2), *rng.choice(plain, 4), *words[at : at + 2], *rng.choice(plain, 4)]))
+            labels.append(UNKNOWN)
+        texts += ["license " + noise(6), noise(8), *(" ".join(rng.choice(plain, 12)) for _ in range(6)), " ".join(rng.choice(PLAIN, 12))]
+        labels += [UNKNOWN] * 9
     return texts, labels
 
 
+def _fit(x: np.ndarray, y: np.ndarray, families: int, epochs: int) -> tuple[np.ndarray, np.ndarray]:
+    w, b, target = np.zeros((x.shape[1], families)), np.zeros(families), np.eye(families)[y]
+    for _ in range(epochs):
+        p = softmax(x @ w + b)
+        w -= RATE * x.T @ (p - target) / len(p) * 4
+        w = np.sign(w) * np.maximum(np.abs(w) - RATE * SPARSE, 0)
+        b -= RATE * (p - target).mean(0)
+    return w, b
+
+
+def softmax(z: np.ndarray) -> np.ndarray:
+    p = np.exp(z - z.max(1, keepdims=True))
+    return p / p.sum(1, keepdims=True)
+
+
 @functools.cache
 def trained() -> tuple[list[str], dict[str, list[float]], list[float], float]:
     """(families, weights of each n-gram, biases, calibrated threshold)."""
     texts, labels = _examples()
     families = sorted(set(labels))
+    unknown = families.index(UNKNOWN)
     y = np.array([families.index(x) for x in labels])
     vocabulary = sorted({g for t in (*[t for _, t in TEMPLATES], *OTHERS) for g in grams_of(t)})
     at = {g: i for i, g in enumerate(vocabulary)}
@@ -105,20 +136,54 @@ def trained() -> tuple[list[str], dict[str, list[float]], list[float], float]:
             if g in at:
                 x[i, at[g]] = 1
     held = np.arange(len(texts)) % 4 == 3
-    w, b = np.zeros((len(vocabulary), len(families))), np.zeros(len(families))
-    b[families.index(UNKNOWN)] = 1.0  # a paragraph of which nothing is known
-    target = np.eye(len(families))[y[~held]]
-    for _ in range(EPOCHS):
-        z = x[~held] @ w + b
-        p = np.exp(z - z.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        w -= RATE * (x[~held].T @ (p - target) / len(p) * 4 + DECAY * w)
-    z = x[held] @ w + b
-    p = np.exp(z - z.max(1, keepdims=True))
-    p /= p.sum(1, keepdims=True)
-    right = p[np.arange(len(p)), y[held]][(p.argmax(1) == y[held]) & (y[held] != families.index(UNKNOWN))]
-    threshold = float(max(0.4, np.quantile(right, 0.01) * 0.8)) if len(right) else 0.5
-    return families, {g: [float(v) for v in w[i]] for g, i in at.items()}, [float(v) for v in b], threshold
+    w, b = _fit(x[~held], y[~held], len(families), EPOCHS)
+    p = softmax(x[held] @ w + b)
+    p[:, unknown] = np.where(p.argmax(1) == unknown, 2, 0)  # a text taken for unknown has no score to pass with
+    top, got = np.where(p.argmax(1) == unknown, 0, p.max(1)), p.argmax(1)
+    right = top[(y[held] != unknown) & (got == y[held])]
+    wrong = [top[(y[held] == unknown) | (got != y[held])]]
+    for left in range(len(families)):
+        if left != unknown:
+            some = ~held & (y != left)
+            v, c = _fit(x[some], y[some], len(families), EPOCHS // 4)
+            q = softmax(x[held & (y == left)] @ v + c)
+            wrong.append(np.where(q.argmax(1) == unknown, 0, q.max(1)))
+    wrong = np.concatenate(wrong)
+    cuts = np.unique(np.concatenate([[0.4], right[right >= 0.4], np.nextafter(wrong[(wrong >= 0.4) & (wrong < 1)], 1)]))
+    lost = [(right < t).mean() + (wrong >= t).mean() for t in cuts]
+    return families, {g: [float(v) for v in w[i]] for g, i in at.items() if w[i].any()}, [float(v) for v in b], float(cuts[int(np.argmin(lost))])
+
+
+@functools.cache
+def screen() -> tuple[str, ...]:
+    """Words of which every text that is taken for a licence holds one.
+
+    A score of ``threshold`` for a family needs log odds against unknown. N-grams whose gains add up to less than that do not
+    reach it together, so one of the others must be there, and of each of those a word is in this list.
+    """
+    families, weights, bias, threshold = trained()
+    unknown, grams = families.index(UNKNOWN), sorted(weights)
+    w = np.array([weights[g] for g in grams])
+    rare = np.array([not set(g.split(" ")) <= set(PLAIN) for g in grams])
+    must = set()
+    for f in range(len(families)):
+        if f != unknown:
+            gain = np.maximum(w[:, f] - w[:, unknown], 0)
+            order = np.lexsort((gain, rare))  # those of plain words alone come first among the n-grams to do without
+            enough = np.cumsum(gain[order]) >= np.log(threshold / (1 - threshold)) - (bias[f] - bias[unknown]) - 1e-6
+            must |= {grams[i] for i in order[enough]}
+    common_ = {*PLAIN} | {x for t in OTHERS for x in re.findall(WORD, t.lower())}
+    words: list[str] = []
+    for gram in sorted(must, key=lambda g: (g.count(" "), g)):
+        parts = gram.split(" ")
+        if not set(parts) & set(words):
+            words.append(min(parts, key=lambda x: (x in common_, -len(x), x)))
+    return tuple(words)
+
+
+def _any() -> str:
+    """A pattern that holds wherever a word of the screen stands."""
+    return rf"(?iu)(?<![a-z0-9.+-])(?:{'|'.join(map(re.escape, screen()))})(?![a-z0-9])"
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
@@ -132,9 +197,9 @@ def paragraphs(docs: DataFrame) -> DataFrame:
         joined = F.regexp_replace(block, r"\s*\n\s*", " ")
         of = lambda kind, xs: F.transform(xs, lambda x, k: F.struct((F.shiftleft(i.cast("long") * 3 + kind, 32) + k).alias("place"), x.alias("paragraph")))
         each = F.concat(of(LINE, F.split(block, r"\n")), of(SENTENCE, F.split(joined, r"(?<=[.!?])\s+")), of(WHOLE, F.array(joined)))
-        return F.filter(each, lambda s: s["paragraph"].rlike(CUE))
+        return F.filter(each, lambda s: s["paragraph"].rlike(_any()))
 
-    return docs.where(F.col("text").rlike(WRAPPED_CUE)).select("row", "doc_id", F.inline(F.flatten(F.transform(F.split(text, r"\n\s*\n"), parts))))
+    return docs.where(F.col("text").rlike(_any())).select("row", "doc_id", F.inline(F.flatten(F.transform(F.split(text, r"\n\s*\n"), parts))))
 
 
 def _grams(words: Column) -> Column:
@@ -164,18 +229,22 @@ def classify(found: DataFrame) -> DataFrame:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """(doc_id, license, score, confirmed, n_notices) of every row: license is null where no paragraph is a notice."""
+    """(doc_id, license, score, confirmed, n_notices, suspected) of every row: license is null where no paragraph is a notice."""
     rows = common.settle(
-        docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.when(F.col("text").rlike(WRAPPED_CUE), F.col("text")).alias("text")), "licence-rows"
+        docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.when(F.col("text").rlike(_any()), F.col("text")).alias("text")), "licence-rows"
     )
     each = classify(paragraphs(rows)).where(F.col("family") != UNKNOWN)
     best = F.max_by(F.struct("family", "score", "confirmed"), F.struct("confirmed", F.round("score", 9), -F.col("place")))
     part = F.shiftright("place", 32)
-    counted = lambda kind, on=F.lit(True): F.sum(((part % 3 == kind) & on).cast("long"))
-    by_block = each.groupBy("row", F.floor(part / 3).alias("block")).agg(best.alias("b"), F.greatest(counted(SENTENCE), counted(LINE, F.col("confirmed")), F.lit(1)).alias("n"), F.min("place").alias("place"))
+    counted = lambda kind: F.sum(((part % 3 == kind) & F.col("confirmed")).cast("long"))
+    some = F.max(F.col("confirmed").cast("long"))
+    by_block = each.groupBy("row", F.floor(part / 3).alias("block")).agg(best.alias("b"), F.greatest(counted(SENTENCE), counted(LINE), some).alias("n"), F.min("place").alias("place"))
     best = F.max_by("b", F.struct(F.col("b")["confirmed"], F.round(F.col("b")["score"], 9), -F.col("place")))
     best = by_block.groupBy("row").agg(best.alias("b"), F.sum("n").alias("n")).select(F.col("row").alias("at"), "b.*", "n")
-    return rows.select("row", "doc_id").join(best, F.col("row") == F.col("at"), "left").select("doc_id", F.col("family").alias("license"), F.round("score", 6).alias("score"), F.coalesce("confirmed", F.lit(False)).alias("confirmed"), F.coalesce("n", F.lit(0)).cast("long").alias("n_notices"))
+    sure = F.coalesce("confirmed", F.lit(False))
+    return rows.select("row", "doc_id").join(best, F.col("row") == F.col("at"), "left").select(
+        "doc_id", F.when(sure, F.col("family")).alias("license"), F.round("score", 6).alias("score"), sure.alias("confirmed"), F.coalesce("n", F.lit(0)).cast("long").alias("n_notices"), F.when(~sure, F.col("family")).alias("suspected")
+    )
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
