@@ -3,15 +3,15 @@
 Candidates are found by patterns. The strict kinds (assign, access, hex: the base) always stay. Further generators
 propose provider keys, tokens and private-key headers. Every candidate's value is hashed and aggregated over
 the whole corpus by distinct repository (a text; its copies count once) and owner (source): a value that several owners
-and several repositories hold is a widely copied example, any other is live-looking. ``all_spans`` gives every span, base
-and added, as kind:start:stop:class:repositories:owners; in ``spans`` the added ones stay where they are live-looking.
-The two classes are counted (``n_live``, ``n_example``).
+and several repositories hold is a widely copied example, any other is live-looking. ``spans`` has every span, base and added, and
+``all_spans`` each with its class, as kind:start:stop:class:repositories:owners. The two classes are counted (``n_live``, ``n_example``).
 
 Positions come from splitting at the pattern: the gaps and matches alternate, so their lengths add up to the
 offsets, in code points. Values are aggregated in two steps (distinct holders of each value, then per value), so a value
 that a third of all documents hold is summed before the shuffle.
 
-Defined results: null and empty texts have no spans; a null source counts as an owner of its own name; repeated rows
+Defined results: null and empty texts have no spans; all rows of null source are one owner, apart from an empty source; of spans
+that start together the kind as listed decides; repeated rows
 give repeated results and one repository; extra columns are ignored; an empty table gives an empty result.
 """
 
@@ -63,7 +63,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     """(row, doc_id, owner, copy, base, added) of every row: spans by start, then kind as listed; copies of a text share ``copy``."""
     text = F.coalesce("text", F.lit(""))
     kinds = [matches(F.col("text"), *k, rank=i) for i, k in enumerate((*BASE, *ADDED))]
-    some = docs.select("doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("owner"), text.alias("text")).withColumn("some", F.col("text").rlike(_ANY))
+    some = docs.select("doc_id", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("owner"), text.alias("text")).withColumn("some", F.col("text").rlike(_ANY))
     none = F.array().cast(_SPANS)
     n = len(BASE)
     return some.select(
@@ -85,7 +85,6 @@ def scan(docs: DataFrame) -> DataFrame:
     found = common.settle(candidates(docs), "secrets")
     each = found.where((F.size("base") > 0) | (F.size("added") > 0)).select("row", "owner", "copy", F.inline(F.concat("base", "added"))).withColumn("value_hash", F.sha2("value", 256))
     owned = common.settle(ownership(each), "owners")
-    is_base = F.col("rank") < len(BASE)
     live = (F.col("n_owners") < OWNERS) | (F.col("n_docs") < REPOSITORIES)
     text = F.concat_ws(":", "kind", "start", "stop")
     per_row = (
@@ -93,12 +92,11 @@ def scan(docs: DataFrame) -> DataFrame:
         .join(owned, "value_hash")
         .groupBy("row")
         .agg(
-            F.array_sort(F.collect_list(F.when(is_base | live, F.struct("start", "rank", "text")))).alias("kept"),
-            F.array_sort(F.collect_list(F.struct("start", "rank", F.concat_ws(":", "text", F.when(live, "live").otherwise("example"), "n_docs", "n_owners").alias("text")))).alias("every"),
+            F.array_sort(F.collect_list(F.struct("start", "rank", "text", F.concat_ws(":", "text", F.when(live, "live").otherwise("example"), "n_docs", "n_owners").alias("full")))).alias("every"),
             F.sum(live.cast("long")).alias("n_live"),
             F.sum((~live).cast("long")).alias("n_example"),
         )
-        .select(F.col("row").alias("at"), F.array_join(F.transform("kept", lambda x: x["text"]), ",").alias("spans"), "n_live", "n_example", F.array_join(F.transform("every", lambda x: x["text"]), ",").alias("all_spans"))
+        .select(F.col("row").alias("at"), F.array_join(F.transform("every", lambda x: x["text"]), ",").alias("spans"), "n_live", "n_example", F.array_join(F.transform("every", lambda x: x["full"]), ",").alias("all_spans"))
     )
     count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base_text = F.array_join(F.transform("base", lambda x: F.concat_ws(":", x["kind"], x["start"], x["stop"])), ",")
