@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,9 +35,11 @@ UND = "und"
 FOLDS, HELD = 5, 0
 #: Rows of the embedding table, its width, and the byte lengths of subwords.
 ROWS, WIDTH, GRAMS = 1 << 16, 8, (2, 3, 4)
-#: At most so many labelled rows are learned from, those with the smallest hashes of the id, each by its first bytes
-#: (scoring reads whole texts).
-SAMPLE, SAMPLE_BYTES = 4000, 2000
+#: At most so many labelled rows are learned from, by their whole texts: of each language those with the smallest hashes of the id, its
+#: share of the rows but LEAST of them at least.
+SAMPLE, LEAST = 4000, 50
+#: Subwords of a row that a step of the descent draws (evenly from the whole text), about.
+DRAWN = 2000
 EPOCHS, RATE, BATCH = 6, 2.0, 32
 #: Steps of gradient descent at least: few rows are gone over more often.
 STEPS = 600
@@ -111,8 +114,9 @@ def train(texts: list[str], languages: list[str], seed: int = 0) -> Model | None
     y = np.searchsorted(names, languages)
     bags = []
     for text in texts:
-        data = np.frombuffer(text.encode()[:SAMPLE_BYTES] + b"\n", np.uint8)
-        bags.append(np.concatenate([row for _, row in subwords(data)]))
+        bag = np.concatenate([row for _, row in subwords(np.frombuffer(text.encode() + b"\n", np.uint8))]).astype(np.int32)
+        # a long text's mean is estimated from subwords of all of it, in a random order that steps go through in turn
+        bags.append(bag[np.random.default_rng(len(bag)).permutation(len(bag))] if len(bag) > DRAWN else bag)
     rng = np.random.default_rng(seed)
     held = np.arange(len(bags)) % 5 == 4
     learn = np.flatnonzero(~held)
@@ -144,16 +148,17 @@ def _fit(bags: list[np.ndarray], y: np.ndarray, classes: int, learn: np.ndarray,
             rows = order[at : at + BATCH]
             rate = RATE * (1 - step / steps)
             step += 1
-            flat = np.concatenate([bags[i] for i in rows])
-            size = np.array([len(bags[i]) for i in rows])
+            drawn = [bags[i] if len(bags[i]) <= DRAWN else np.take(bags[i], np.arange(step * DRAWN, (step + 1) * DRAWN), mode="wrap") for i in rows]
+            flat = np.concatenate(drawn)
+            size = np.array([len(x) for x in drawn])
             starts = np.concatenate([[0], np.cumsum(size)[:-1]])
             mean = np.add.reduceat(emb[flat], starts, axis=0) / size[:, None]
             z = mean @ out + bias
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             p[np.arange(len(rows)), y[rows]] -= 1
-            grad = p @ out.T
-            out -= rate * mean.T @ p / len(rows) * 4
+            grad = np.clip(p @ out.T, -1, 1)  # texts of few subwords would run away otherwise
+            out = np.clip(out - rate * mean.T @ p / len(rows) * 4, -20, 20)
             bias -= rate * p.mean(0)
             np.add.at(emb, flat, np.repeat(-rate * 8 * grad / size[:, None], size, axis=0))
     return emb @ out, bias
@@ -172,7 +177,7 @@ def junk(texts: list[str], rng) -> list[str]:
 def _wrong(model: Model, texts: list[str], bags: list[np.ndarray], y: np.ndarray, held: np.ndarray, learn: np.ndarray, rng) -> list[np.ndarray]:
     """Log odds of examples that are wrong whatever is predicted: letter junk, and languages left out of the training."""
     found = np.flatnonzero(held)[: 2 * WRONG]
-    scores = [odds(model, pa.array(junk([texts[i][:SAMPLE_BYTES] for i in found], rng), pa.large_string()))[1]]
+    scores = [odds(model, pa.array(junk([texts[i] for i in found], rng), pa.large_string()))[1]]
     n = len(model.languages)
     for left in np.argsort(-np.bincount(y, minlength=n), kind="stable")[:LEFT_OUT] if n > 2 else []:
         out = np.flatnonzero(held & (y == left))[:WRONG]
@@ -195,20 +200,25 @@ def cutoff(right: np.ndarray, wrong: np.ndarray) -> float:
 
 
 def training_rows(docs: DataFrame) -> tuple[list[str], list[str]]:
-    """The bounded sample: rows out of the held-out fold, with text and lang, smallest id hashes first.
+    """The bounded sample: rows out of the held-out fold, with text and lang, smallest id hashes first in each language.
 
-    Hashes beyond the share that the sample needs are dropped in the scan, so few rows reach the driver at any size.
+    Hashes beyond the share of its language that the sample needs are dropped in the scan, so few rows reach the driver at any size;
+    languages beyond SAMPLE / LEAST are learned by the most frequent ones first.
     """
-    labelled = docs.select("doc_id", "text", "lang").where((common.crc_fold("doc_id", FOLDS) != HELD) & F.col("lang").isNotNull())
-    share = min(1.0, 1.5 * SAMPLE / max(1, labelled.select("lang").count()))
-    h = F.xxhash64("doc_id") / 2.0**64 + 0.5
-    rows = (
-        labelled.where((h <= share) & F.col("text").isNotNull())
-        .select(h.alias("h"), "doc_id", F.substring("text", 1, SAMPLE_BYTES).alias("text"), "lang")
-        .orderBy("h", "doc_id")
-        .limit(SAMPLE)
-        .collect()
-    )
+    labelled = docs.select("doc_id", "text", "lang").where((common.crc_fold("doc_id", FOLDS) != HELD) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(SAMPLE // LEAST).collect()
+    total, h = sum(r["n"] for r in counts), F.xxhash64("doc_id") / 2.0**64 + 0.5
+    wanted = {r["lang"]: max(min(LEAST, r["n"]), SAMPLE * r["n"] // total) for r in counts}
+    if not wanted:
+        return [], []
+    within = F.lit(False)
+    for r in counts:
+        within = within | ((F.col("lang") == r["lang"]) & (h <= min(1.0, (1.5 * wanted[r["lang"]] + 30) / r["n"])))
+    rows = labelled.where(within).select(h.alias("h"), "doc_id", "lang", F.row_number().over(W.partitionBy("lang").orderBy(h, "doc_id", F.xxhash64("text"))).alias("k"), "text")
+    most = F.lit(0)
+    for lang, n in wanted.items():
+        most = F.when(F.col("lang") == lang, n).otherwise(most)
+    rows = rows.where(F.col("k") <= most).orderBy("h", "doc_id").limit(SAMPLE + LEAST * len(wanted)).collect()
     return [r["text"] for r in rows], [r["lang"] for r in rows]
 
 
