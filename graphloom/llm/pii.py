@@ -4,7 +4,8 @@ Four kinds: email, ip, card, phone. Generators of two sorts propose candidate sp
 always kept) and loose forms (spelled-out addresses, telephone numbers without a country prefix or with digits
 after them, card numbers with other separators or beside other digits). Every candidate gets features of its format and of the text around it; boosted trees trained
 on generated examples score it; per kind, the threshold is the lowest score at which held-back examples reach
-``PRECISION``. A loose span that overlaps a kept span of a kind is dropped, the better score first.
+``PRECISION``. A loose span that overlaps a kept span is dropped, the better score first
+(ties: by kind, then start).
 
 Whole texts are read. The strict forms are found in linear time: each start is tried once.
 
@@ -14,6 +15,7 @@ an empty table gives an empty result. Offsets are in code points, end exclusive.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import re
@@ -39,7 +41,8 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 
-#: The loose generators.
+#: The loose generators. Their lengths are those of the formats: 64 characters before the @ sign and 63 in a part of a domain name at most
+#: (RFC 5321, RFC 1035).
 _LOOSE = (
     ("email", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?[\[({<] ?(?:at|AT|@) ?[\])}>] ?[A-Za-z0-9-]{1,63}(?:(?:\.| ?[\[({<] ?(?:dot|DOT|\.) ?[\])}>] ?)[A-Za-z0-9-]{1,63}){1,4}")),
     ("email", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} (?:at|AT) [A-Za-z0-9-]{1,63}(?: (?:dot|DOT) [A-Za-z0-9-]{1,63}){1,4}")),
@@ -175,19 +178,41 @@ def find(text: str | None, model: boosting.Boosted, thresholds: dict[str, float]
     text = text or ""
     base = base_spans(text)
     loose = [(kind, *m.span()) for kind, pattern in _LOOSE for m in pattern.finditer(text)]
-    loose = [x for x in dict.fromkeys(loose) if not any(x[1] < e and s < x[2] for _, s, e in base)]
+    taken = Taken((s, e) for _, s, e in base)
+    loose = [x for x in dict.fromkeys(loose) if taken.free(x[1], x[2])]
     kept = list(base)
     if loose:
         score = model.predict(np.array([features(text, *x, False) for x in loose]))
-        added: list[tuple[str, int, int]] = []
         for i in sorted(range(len(loose)), key=lambda i: (-score[i], loose[i])):
             kind, s, e = loose[i]
-            if score[i] >= thresholds[kind] and not any(s < b and a < e for _, a, b in added):
-                added.append(loose[i])
-        kept += added
+            if score[i] >= thresholds[kind] and taken.free(s, e):
+                taken.add(s, e)
+                kept.append(loose[i])
     return base, sorted(kept, key=lambda x: (KINDS.index(x[0]), x[1]))
 
 
+class Taken:
+    """Disjoint intervals in order: whether a span meets none is found by bisection."""
+
+    def __init__(self, spans):
+        self.starts, self.ends = [], []
+        for s, e in sorted(spans):
+            if self.ends and s < self.ends[-1]:
+                self.ends[-1] = max(e, self.ends[-1])
+            else:
+                self.starts.append(s)
+                self.ends.append(e)
+
+    def free(self, start: int, end: int) -> bool:
+        i = bisect.bisect_left(self.starts, end)
+        return i == 0 or self.ends[i - 1] <= start
+
+    def add(self, start: int, end: int) -> None:
+        i = bisect.bisect_left(self.starts, start)
+        self.starts.insert(i, start)
+        self.ends.insert(i, end)
+
+
 def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:
     """The text with each span replaced by [KIND]; overlapping spans make one replacement, by the first's kind."""
     out, past = [], 0

@@ -72,6 +72,16 @@ def test_language_id_rejection():
     assert language_id.cutoff(np.array([3.0, 4.0, 5.0]), np.array([0.0, 1.0, 3.5])) > 1 and language_id.cutoff(np.zeros(0), np.ones(1)) == -np.inf
 
 
+def test_language_id_sample(spark):
+    """Every language is in the sample, and rows are learned from by their whole texts."""
+    rows = [(i, "aaa bbb " * 2000 + f"end{i}", "hot") for i in range(400)] + [(1000 + i, "ccc ddd", f"rare{i % 3}") for i in range(60)] + [(5000, None, "none"), (5001, "x", None)]
+    texts, langs = language_id.training_rows(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(langs) == {"hot", "rare0", "rare1", "rare2"} and all(t.startswith("c") or "end" in t for t in texts)
+    assert sum(x == "hot" for x in langs) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(400))
+    model = language_id.train(texts, langs)
+    assert language_id.score(model, pa.array(["bbb aaa aaa"], pa.large_string()))[0][0] == 0
+
+
 def test_quality(spark, docs, empty):
     model = quality.train(["good words here and there"] * 40 + ["BAD!! TEXT!!"] * 40, [1] * 40 + [0] * 40)
     out = quality.classify(docs, model).collect()
@@ -144,7 +154,7 @@ def test_secrets(spark, docs, empty):
         assert out[i]["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest() and out[i]["spans"] == joined
     n = len(made)
     assert out[n]["spans"] == f"provider:4:{4 + len(key)}" and out[n]["n_live"] == 1  # one owner: live
-    assert out[n + 1]["spans"] == "" and out[n + 1]["n_example"] == 1  # several owners: an example
+    assert out[n + 1]["spans"] == "provider:7:47" and out[n + 1]["n_example"] == 1  # several owners: an example
     got = secrets.scan(docs)
     assert got.count() == docs.count() and {r["spans"] for r in got.where("doc_id = 0").collect()} == {""}
     assert [r["n_access"] for r in got.where("doc_id = 8").collect()] == [1, 1] and secrets.scan(empty).count() == 0
@@ -169,6 +179,31 @@ def test_secrets_copies(spark):
     assert out[5]["all_spans"] == "access:6:26:live:2:1,provider:27:67:live:1:1"
 
 
+def test_secrets_null_source(spark):
+    """Null is an owner of its own, apart from the empty source."""
+    rows = [(0, "x ghp_" + "a1B2" * 9, None), (1, "y ghp_" + "a1B2" * 9, ""), (2, "x ghp_" + "c1B2" * 9, None), (3, "y ghp_" + "c1B2" * 9, None)]
+    out = {r["doc_id"]: r["all_spans"] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert out == {0: "provider:2:42:example:2:2", 1: "provider:2:42:example:2:2", 2: "provider:2:42:live:2:1", 3: "provider:2:42:live:2:1"}
+
+
+def test_licenses_screen(spark):
+    """What the screen leaves out would be unknown anyway, and the native scores are those of the model."""
+    families, weights, bias, threshold = licenses.trained()
+    rng, pattern = np.random.default_rng(3), re.compile(licenses._any()[5:], re.I)
+    words = [w for _, t in licenses.TEMPLATES for w in t.split()] + [w for t in licenses.OTHERS for w in t.split()] + licenses.PLAIN
+    texts = [t for _, t in licenses.TEMPLATES] + list(licenses.OTHERS) + [" ".join(rng.choice(words, rng.integers(1, 30))) for _ in range(3000)]
+    texts += [" ".join(x) for n in range(3000) for x in [rng.choice([g for g in weights if not pattern.search(g)], 12)]]
+    want = []
+    for t in texts:
+        p = licenses.softmax((np.array(bias) + sum((np.array(weights[g]) for g in licenses.grams_of(t) if g in weights), np.zeros(len(bias))))[None])[0]
+        want.append(families[p.argmax()] if p.max() >= threshold else "unknown")
+        assert want[-1] == "unknown" or pattern.search(t)
+    assert [w for w, _ in zip(want, licenses.TEMPLATES)] == [f for f, _ in licenses.TEMPLATES] and set(want[len(licenses.TEMPLATES) :][: len(licenses.OTHERS)]) == {"unknown"}
+    some = [(i, t) for i, t in enumerate(texts[:300]) if licenses.grams_of(t)]
+    got = licenses.classify(spark.createDataFrame(some, "row long, paragraph string").withColumn("place", F.lit(0).cast("long"))).collect()
+    assert all(r["family"] == want[r["row"]] for r in got) and {i for i, _ in some if want[i] != "unknown"} <= {r["row"] for r in got}
+
+
 MIT_TEXT = """Permission is hereby granted, free of charge, to any person obtaining a copy
 of this software and associated documentation files (the "Software"), to deal
 in the Software without restriction, including without limitation the rights
