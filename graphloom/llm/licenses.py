@@ -11,8 +11,8 @@ Unknown: the threshold is the score that loses the least of held-back notices (a
 notices of families left out of a training of their own. A predicted family is a notice only if it is confirmed: enough of the
 3-word n-grams of its closest template are in the candidate; an unconfirmed one is given as ``suspected``.
 
-Screen: the weights tell which words a candidate must hold one of to reach the threshold for any family (``screen``). Candidates
-without any are unknown whatever else they hold, so their n-grams are not made; no decision is changed by that.
+Screen: the weights tell which words a candidate must hold two of to reach the threshold for any family (``screen``). Candidates
+without them are unknown whatever else they hold, so their n-grams are not made; no decision is changed by that.
 
 Defined results: null and empty texts have no licence; repeated rows give repeated results; of several paragraphs the
 confirmed, then the most probable decides (ties: the earlier one); extra columns are ignored; an empty table
@@ -64,8 +64,8 @@ OTHERS = (
     "the foundation of the house was built in the first year", "you may not use the road except on foot", "the domain of the king was open to the commons", "the form of the code is subject to change",
     "the library of the university lends books", "mit der neuen version", "the attribution of the painting is in doubt", "redistribution of income and of land", "an international agreement on trade", "the apache people lived there", "a modification of the binary system",
 )
-#: Words that any text may hold: the screen does without them where it can.
-PLAIN = "the of and to in that it is was for on with this under as by or are form person into be from an at which not you may any can use free work text public".split()
+#: Words that any text may hold: n-grams of them alone are no features.
+PLAIN = "the of and to in that it is was for on with this under as by or are be from an at which not you may any can".split()
 UNKNOWN = "unknown"
 #: The parts of a paragraph that are candidates.
 LINE, SENTENCE, WHOLE = range(3)
@@ -128,7 +128,7 @@ def trained() -> tuple[list[str], dict[str, list[float]], list[float], float]:
     families = sorted(set(labels))
     unknown = families.index(UNKNOWN)
     y = np.array([families.index(x) for x in labels])
-    vocabulary = sorted({g for t in (*[t for _, t in TEMPLATES], *OTHERS) for g in grams_of(t)})
+    vocabulary = sorted({g for t in (*[t for _, t in TEMPLATES], *OTHERS) for g in grams_of(t) if not set(g.split(" ")) <= set(PLAIN)})
     at = {g: i for i, g in enumerate(vocabulary)}
     x = np.zeros((len(texts), len(vocabulary)))
     for i, t in enumerate(texts):
@@ -155,35 +155,41 @@ def trained() -> tuple[list[str], dict[str, list[float]], list[float], float]:
 
 
 @functools.cache
-def screen() -> tuple[str, ...]:
-    """Words of which every text that is taken for a licence holds one.
+def screen() -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """(words, telling ones): every text that is taken for a licence holds two of the words, or one of the telling ones.
 
-    A score of ``threshold`` for a family needs log odds against unknown. N-grams whose gains add up to less than that do not
-    reach it together, so one of the others must be there, and of each of those a word is in this list.
+    A score of ``threshold`` for a family needs log odds against unknown, which n-grams add to by their weights. What all n-grams of one
+    word and plain ones can add is a sum over the model: where it falls short for every family, a text without a second word
+    is unknown whatever it holds.
     """
     families, weights, bias, threshold = trained()
-    unknown, grams = families.index(UNKNOWN), sorted(weights)
-    w = np.array([weights[g] for g in grams])
-    rare = np.array([not set(g.split(" ")) <= set(PLAIN) for g in grams])
-    must = set()
-    for f in range(len(families)):
-        if f != unknown:
-            gain = np.maximum(w[:, f] - w[:, unknown], 0)
-            order = np.lexsort((gain, rare))  # those of plain words alone come first among the n-grams to do without
-            enough = np.cumsum(gain[order]) >= np.log(threshold / (1 - threshold)) - (bias[f] - bias[unknown]) - 1e-6
-            must |= {grams[i] for i in order[enough]}
-    common_ = {*PLAIN} | {x for t in OTHERS for x in re.findall(WORD, t.lower())}
-    words: list[str] = []
-    for gram in sorted(must, key=lambda g: (g.count(" "), g)):
-        parts = gram.split(" ")
-        if not set(parts) & set(words):
-            words.append(min(parts, key=lambda x: (x in common_, -len(x), x)))
-    return tuple(words)
-
-
-def _any() -> str:
-    """A pattern that holds wherever a word of the screen stands."""
-    return rf"(?iu)(?<![a-z0-9.+-])(?:{'|'.join(map(re.escape, screen()))})(?![a-z0-9])"
+    unknown = families.index(UNKNOWN)
+    need = {f: np.log(threshold / (1 - threshold)) - (bias[f] - bias[unknown]) - 1e-6 for f in range(len(families)) if f != unknown}
+    words, one = set(), {}
+    for gram, w in weights.items():
+        rare = set(gram.split(" ")) - set(PLAIN)
+        if any(w[f] > w[unknown] for f in need):
+            words |= rare
+        if len(rare) == 1:
+            for f in need:
+                x = next(iter(rare)), f
+                one[x] = one.get(x, 0.0) + max(0.0, w[f] - w[unknown])
+    if min(need.values()) <= 0:
+        raise ValueError("a text without any n-gram passes")
+    return tuple(sorted(words)), tuple(sorted({x for (x, f), gain in one.items() if gain >= need[f]}))
+
+
+def _pattern(words: tuple[str, ...]) -> str:
+    """Holds wherever one of the words stands."""
+    return rf"(?<![a-z0-9.+-])(?:{'|'.join(sorted(map(re.escape, words), reverse=True))})(?![a-z0-9])"
+
+
+def possible(text: Column) -> Column:
+    """Whether a text passes the screen."""
+    words, telling = screen()
+    low = F.lower(text)
+    two = F.size(F.array_distinct(F.regexp_extract_all(low, F.lit(_pattern(words)), F.lit(0)))) > 1
+    return two | low.rlike(_pattern(telling)) if telling else two
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
@@ -197,9 +203,9 @@ def paragraphs(docs: DataFrame) -> DataFrame:
         joined = F.regexp_replace(block, r"\s*\n\s*", " ")
         of = lambda kind, xs: F.transform(xs, lambda x, k: F.struct((F.shiftleft(i.cast("long") * 3 + kind, 32) + k).alias("place"), x.alias("paragraph")))
         each = F.concat(of(LINE, F.split(block, r"\n")), of(SENTENCE, F.split(joined, r"(?<=[.!?])\s+")), of(WHOLE, F.array(joined)))
-        return F.filter(each, lambda s: s["paragraph"].rlike(_any()))
+        return F.filter(each, lambda s: possible(s["paragraph"]))
 
-    return docs.where(F.col("text").rlike(_any())).select("row", "doc_id", F.inline(F.flatten(F.transform(F.split(text, r"\n\s*\n"), parts))))
+    return docs.where("text IS NOT NULL").select("row", "doc_id", F.inline(F.flatten(F.transform(F.split(text, r"\n\s*\n"), parts))))
 
 
 def _grams(words: Column) -> Column:
@@ -215,12 +221,14 @@ def classify(found: DataFrame) -> DataFrame:
     spark = found.sparkSession
     families, weights, bias, threshold = trained()
     words = F.regexp_extract_all(F.lower("paragraph"), F.lit(WORD), F.lit(0))
-    grams = common.settle(found.select("row", "place", words.alias("w")).select("row", "place", F.explode(_grams(F.col("w"))).alias("gram")), "licence-grams")
-    # both tables are bounded by the templates
-    model = F.broadcast(spark.createDataFrame(list(weights.items()), "gram string, w array<double>"))
     three = [(k, family, len(t3), g) for k, (family, t) in enumerate(TEMPLATES) for t3 in [[g for g in grams_of(t) if g.count(" ") == GRAMS - 1]] for g in t3]
+    # the tables are bounded by the templates; n-grams in neither say nothing
+    none = [0.0] * len(families)
+    known = F.broadcast(spark.createDataFrame([(g, weights.get(g, none), g in weights) for g in sorted({*weights, *(t[3] for t in three)})], "gram string, w array<double>, weighs boolean"))
+    grams = found.select("row", "place", words.alias("w")).select("row", "place", F.explode(_grams(F.col("w"))).alias("gram")).join(known, "gram")
+    grams = common.settle(grams, "licence-grams")
     templates = F.broadcast(spark.createDataFrame(three, "template int, family string, size int, gram string"))
-    scored = grams.join(model, "gram").groupBy("row", "place").agg(*[F.sum(F.col("w")[i]).alias(f"s{i}") for i in range(len(families))])
+    scored = grams.where("weighs").groupBy("row", "place").agg(*[F.sum(F.col("w")[i]).alias(f"s{i}") for i in range(len(families))])
     z = F.array(*[F.struct((F.col(f"s{i}") + bias[i]).alias("z"), F.lit(f).alias("family")) for i, f in enumerate(families)])
     scored = scored.select("row", "place", z.alias("z")).withColumn("best", F.array_max("z")).withColumn("score", 1 / F.aggregate("z", F.lit(0.0), lambda a, x: a + F.exp(x["z"] - F.col("best")["z"])))
     known = scored.select("row", "place", F.when(F.col("score") >= threshold, F.col("best")["family"]).otherwise(F.lit(UNKNOWN)).alias("family"), "score")
@@ -231,7 +239,7 @@ def classify(found: DataFrame) -> DataFrame:
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, license, score, confirmed, n_notices, suspected) of every row: license is null where no paragraph is a notice."""
     rows = common.settle(
-        docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.when(F.col("text").rlike(_any()), F.col("text")).alias("text")), "licence-rows"
+        docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.when(possible(F.col("text")), F.col("text")).alias("text")), "licence-rows"
     )
     each = classify(paragraphs(rows)).where(F.col("family") != UNKNOWN)
     best = F.max_by(F.struct("family", "score", "confirmed"), F.struct("confirmed", F.round("score", 9), -F.col("place")))
