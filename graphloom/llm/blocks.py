@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import common
 
-#: Candidate vectors of a lane, about; queries of a block; candidates of a tile.
-HELD, QUERIES_ROWS, TILE = 1 << 18, 512, 4096
+#: Candidate vectors of a lane at most, about, and at least, where there are so many; queries of a block; candidates of a tile.
+HELD, LEAST, QUERIES_ROWS, TILE = 1 << 18, 4096, 512, 4096
 
 
 def usable(column: pa.ListArray, zero: bool) -> tuple[np.ndarray, np.ndarray, list]:
@@ -69,7 +69,9 @@ def raw(rows: list[np.ndarray | bytes]) -> pa.Array:
 
 
 def lanes(rows: DataFrame) -> int:
-    return max(common.partitions(rows), -(-rows.count() // HELD))
+    """As many as the session's partitions, but no smaller than LEAST nor larger than HELD: every lane gives a few rows of each query."""
+    n = rows.count()
+    return max(1, min(common.partitions(rows), -(-n // LEAST)), -(-n // HELD))
 
 
 def grid(rows: DataFrame, queries: DataFrame, columns: list[str], run: Callable, schema: str, extra: list[str] | None = None) -> DataFrame:

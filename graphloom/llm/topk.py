@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from graphloom.llm import blocks, common
 
 K, EVERY, PARTS, SCALE = 5, 50, 2, 256
-#: Pairs whose missing parts are computed at once.
-PIECE = 1 << 16
+#: Pairs whose missing parts are computed at once, one by one; where more than one of DENSE pairs is left, a whole product is faster.
+PIECE, DENSE = 1 << 16, 32
 
 _NONE = np.iinfo(np.int64).min
 _LAST = np.iinfo(np.int64).max
@@ -151,7 +151,10 @@ def _resolve(k: int):
             total, listed = first[rows, cols], first[rows, cols] >= cut[rows, 0]
             for s in range(1, len(parts)):
                 part = parts[s]
-                mine = np.concatenate([paired(x[rows[i : i + PIECE], part], y[cols[i : i + PIECE], part]) for i in range(0, len(rows), PIECE)]) if len(rows) else np.zeros(0, np.int64)
+                if len(rows) * DENSE > first.size:
+                    mine = product(x[:, part], y[:, part])[rows, cols]
+                else:
+                    mine = np.concatenate([paired(x[rows[i : i + PIECE], part], y[cols[i : i + PIECE], part]) for i in range(0, len(rows), PIECE)] or [np.zeros(0, np.int64)])
                 total, listed = total + mine, listed | (mine >= cut[rows, s])
                 on = total + high[rows, s + 1 :].sum(1) >= need[rows]
                 rows, cols, total, listed = rows[on], cols[on], total[on], listed[on]
