@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 _NAMES = {
     "l2": ("l2", "euclidean", "l2-distance"),
-    "squared-l2": ("squared-l2", "sq-l2", "squared_l2", "sqeuclidean", "sql2"),
-    "dot": ("dot", "inner", "inner-product", "ip"),
+    "squared-l2": ("squared-l2", "squared-euclidean", "sq-l2", "squared_l2", "sqeuclidean", "sql2"),
+    "dot": ("dot", "dot-product", "inner", "inner-product", "ip"),
 }
 
 

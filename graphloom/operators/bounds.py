@@ -32,11 +32,17 @@ def leaf_cap(g: Graph, parent: DataFrame, leaf: DataFrame, rel: str, cap: int, d
     return leaf.join(kept, "v", "left_semi")
 
 
+def sizes(cands: dict[int, DataFrame]) -> dict[int, tuple[int, float]]:
+    """How many candidates each pattern node has, and their least distance, in one job; nodes without any are missing."""
+    rows = union({u: c.select("s") for u, c in cands.items()}).groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("s")).collect()  # one per pattern node
+    return {r["u"]: (r["n"], r["s"]) for r in rows}
+
+
 def threshold_prune(cands: dict[int, DataFrame], tau: float) -> dict[int, DataFrame]:
     """Drops v of u where its distance plus the least distances of all other nodes exceeds tau, the score of k known
     matches; ties stay (a slack above the rounding that orders results)."""
-    least = {u: c.agg(F.min("s")).first()[0] for u, c in cands.items()}
-    if any(x is None for x in least.values()):
+    least = {u: s for u, (_, s) in sizes(cands).items()}
+    if len(least) < len(cands):
         return cands
     total = sum(least.values())
     return {u: c.where(F.col("s") + F.lit(total - least[u]) <= F.lit(tau + 2e-6)) for u, c in cands.items()}

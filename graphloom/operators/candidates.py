@@ -5,6 +5,7 @@ A candidate table is (u, v, s): pattern node, graph node, distance. Every filter
 
 from __future__ import annotations
 
+import itertools
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -14,7 +15,8 @@ from graphloom.functions import vector
 from graphloom.operators.graph import Graph
 from graphloom.operators.pattern import Pattern
 
-ROUNDS = 20
+#: Rounds of refinement for the filters that stop early; None goes on to the fixpoint.
+ROUNDS = None
 
 
 def distances(g: Graph, vectors: dict[int, list[float]], metric: str = "l2") -> DataFrame:
@@ -72,13 +74,13 @@ def supported(g: Graph, p: Pattern, u: int, cands: dict[int, DataFrame], directe
     return found
 
 
-def refine(g: Graph, p: Pattern, cands: dict[int, DataFrame], directed: bool = False, rounds: int = ROUNDS) -> dict[int, DataFrame]:
+def refine(g: Graph, p: Pattern, cands: dict[int, DataFrame], directed: bool = False, rounds: int | None = ROUNDS) -> dict[int, DataFrame]:
     """Arc consistency: infers nodes without candidates, then semi-joins every node with its neighbours until the
-    number of candidates stays (at most ``rounds``). Each round is checkpointed, so lineage stays short."""
+    number of candidates stays (or for ``rounds``). Each round is checkpointed, so lineage stays short."""
     spark = g.nodes.sparkSession
     full = distances(g, {u: p.vectors.get(u) for u in range(p.nodes)})
     now, before = dict(cands), None
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):
         for u in range(p.nodes):
             ok = supported(g, p, u, now, directed)
             own = now.get(u)
@@ -102,6 +104,8 @@ def keep(df: DataFrame, spark) -> DataFrame:
     import tempfile
 
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="graphloom_"))
     return df.checkpoint()
 

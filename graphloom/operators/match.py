@@ -30,10 +30,12 @@ def type_filter(types_q: tuple[int, ...] | None, mode: str):
 def chain(g: Graph, p: Pattern, cands: dict[int, DataFrame], directed: bool, injective: bool, tau: float | None = None, label_sets: bool = False) -> DataFrame:
     """All matches: (v0.., score). ``label_sets``: of parallel pattern edges any relation suffices."""
     rest: dict[int, float] = {}
+    many = None
     if tau is not None:
-        least = {u: c.agg(F.min("s")).first()[0] for u, c in cands.items()}
-        rest = {u: (x if x is not None else 0.0) for u, x in least.items()}
-    order = p.order()
+        known = bounds.sizes(cands)
+        rest = {u: known[u][1] if u in known else 0.0 for u in cands}
+        many = {u: known[u][0] if u in known else 0 for u in cands}
+    order = p.order(many)
     first = order[0]
     got = cands[first].select(F.col("v").alias(f"v{first}"), F.col("s").alias("score"))
     done = [first]

@@ -129,10 +129,21 @@ def dictionary(triples: DataFrame) -> DataFrame:
 
 
 def hop_index(triples: DataFrame) -> DataFrame:
-    """(e, p, least, most, top): per entity and predicate the range of numeric values reached, and the two largest with
-    their witnesses."""
-    rows = triples.select(F.col("s").alias("e"), "p", F.col("o").try_cast("double").alias("x"), "o").where("x IS NOT NULL")
-    from pyspark.sql import Window as W
-
-    two = rows.withColumn("r", F.row_number().over(W.partitionBy("e", "p").orderBy(F.desc("x"), "o")))
-    return two.groupBy("e", "p").agg(F.min("x").alias("least"), F.max("x").alias("most"), F.max(F.when(F.col("r") == 2, F.col("x"))).alias("second"))
+    """(e, p, least, most, witness, second, second_witness): per entity and path the range of the numeric values reached, and the two
+    largest with the nodes that hold them (ties: the smaller node first).
+
+    Paths are a predicate of the entity's own, ``p/q`` over one hop, and ``^p/q`` over one hop backwards. The two largest and the
+    least are kept by aggregates that combine before the shuffle, so a node with many neighbours is not one task's.
+    """
+    values = triples.select(F.col("s").alias("w"), F.col("p").alias("q"), F.col("o").try_cast("double").alias("x")).where("x IS NOT NULL").distinct()
+    path = lambda sign: F.concat(F.lit(sign), "p", F.lit("/"), "q").alias("p")
+    there = triples.select(F.col("s").alias("e"), "p", F.col("o").alias("w")).join(values, "w").select("e", path(""), "x", "w")
+    back = triples.select(F.col("o").alias("e"), "p", F.col("s").alias("w")).join(triples.select(F.col("s").alias("e")).distinct(), "e", "left_semi").join(values, "w").select("e", path("^"), "x", "w")
+    own = values.select(F.col("w").alias("e"), F.col("q").alias("p"), "x", "w")
+    rows = own.unionByName(there).unionByName(back)
+    best = rows.groupBy("e", "p").agg(F.min("x").alias("least"), F.max("x").alias("most"))
+    first = rows.join(best, ["e", "p"]).where("x = most").groupBy("e", "p").agg(F.min("w").alias("witness"))
+    rest = rows.join(first, ["e", "p"]).where("w <> witness")
+    second = rest.groupBy("e", "p").agg(F.max("x").alias("second"))
+    holder = rest.join(second, ["e", "p"]).where("x = second").groupBy("e", "p").agg(F.min("w").alias("second_witness"))
+    return best.join(first, ["e", "p"]).join(second.join(holder, ["e", "p"]), ["e", "p"], "left").select("e", "p", "least", "most", "witness", "second", "second_witness")

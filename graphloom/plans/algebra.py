@@ -26,7 +26,7 @@ _CSQL = "SELECT concat('c', c_custkey) AS c, concat('n', c_nationkey) AS n, c_mk
 _add("bgp_join", lambda x: t.bgp(x, [*_C, ("?n", "in_region", "?r")]), f"SELECT x.*, concat('r', n_regionkey) AS r FROM ({_CSQL}) x JOIN nation ON concat('n', n_nationkey) = x.n")
 _add("bgp_constant", lambda x: t.bgp(x, [("?c", "segment", "BUILDING"), ("?c", "in_nation", "n3")]), "SELECT concat('c', c_custkey) AS c FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey = 3")
 _add("optional", lambda x: t.optional(t.bgp(x, _C).select("c", "n"), t.bgp(x, [("?o", "placed_by", "?c")])), "SELECT concat('c', c_custkey) AS c, concat('n', c_nationkey) AS n, CASE WHEN o_orderkey IS NULL THEN NULL ELSE concat('o', o_orderkey) END AS o FROM customer LEFT JOIN orders ON o_custkey = c_custkey")
-_add("minus", lambda x: t.minus(t.bgp(x, _C).select("c", "n"), t.bgp(x, [("?o", "placed_by", "?c")])), "SELECT concat('c', c_custkey) AS c, concat('n', c_nationkey) AS n FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+_add("minus", lambda x: t.minus(t.bgp(x, _C).select("c", "n"), t.bgp(x, [("?o", "placed_by", "?c"), ("?o", "priority", URGENT)])), "SELECT concat('c', c_custkey) AS c, concat('n', c_nationkey) AS n FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 _add("union", lambda x: t.union(t.bgp(x, [("?c", "segment", "?g")]), t.bgp(x, [("?s", "in_nation", "?n"), ("?n", "in_region", "?r")])), "SELECT concat('c', c_custkey) AS c, c_mktsegment AS g, NULL AS s, NULL AS n, NULL AS r FROM customer UNION ALL SELECT NULL, NULL, k, n, concat('r', n_regionkey) FROM (SELECT concat('s', s_suppkey) AS k, concat('n', s_nationkey) AS n FROM supplier UNION ALL SELECT concat('c', c_custkey), concat('n', c_nationkey) FROM customer) JOIN nation ON concat('n', n_nationkey) = n")
 _add("filter", lambda x: t.bgp(x, [("?o", "total", "?v"), ("?o", "priority", "?p")]).where((t.number("v") > 200000) & (F.col("p") != LOW)).select("o", "p"), f"SELECT concat('o', o_orderkey) AS o, o_orderpriority AS p FROM orders WHERE o_totalprice > 200000 AND o_orderpriority <> '{LOW}'")
 _add("bind", lambda x: t.bind(t.bind(t.bgp(x, [("?c", "segment", "?g")]), "g", "BUILDING"), "kind", "customer"), "SELECT concat('c', c_custkey) AS c, c_mktsegment AS g, 'customer' AS kind FROM customer WHERE c_mktsegment = 'BUILDING'")
@@ -40,11 +40,32 @@ _add("distinct", lambda x: t.bgp(x, [("?c", "in_nation", "?n"), ("?c", "segment"
 _add("order_limit_offset", lambda x: t.bgp(x, [("?o", "total", "?v")]).select("o", F.round(t.number("v"), 2).alias("v")).orderBy(F.desc("v"), "o").offset(5).limit(20), "SELECT concat('o', o_orderkey) AS o, round(o_totalprice, 2) AS v FROM orders ORDER BY v DESC, o LIMIT 20 OFFSET 5")
 _add("ask", lambda x: t.ask(t.bgp(x, [("?c", "segment", "MACHINERY"), ("?c", "in_nation", "n1")])), "SELECT count(*) > 0 AS answer FROM customer WHERE c_mktsegment = 'MACHINERY' AND c_nationkey = 1")
 _add("topk_linear_score", lambda x: t.top_k(t.bgp(x, [("?o", "placed_by", "?c"), ("?o", "total", "?v"), ("?c", "balance", "?b")]), "?v + 2*?b", 10, True).select("o", "c", F.round("score", 4).alias("score")), "SELECT concat('o', o_orderkey) AS o, concat('c', c_custkey) AS c, round(round(o_totalprice + 2 * c_acctbal, 6), 4) AS score FROM orders JOIN customer ON o_custkey = c_custkey ORDER BY round(o_totalprice + 2 * c_acctbal, 6) DESC, o LIMIT 10")
-_add("insert_where", lambda x: t.insert(x.where("p = 'in_region'"), t.construct(t.bgp(x, [("?n", "in_region", "?r")]), [("?r", "has", "?n")])), "SELECT concat('n', n_nationkey) AS s, 'in_region' AS p, concat('r', n_regionkey) AS o FROM nation UNION SELECT concat('r', n_regionkey), 'has', concat('n', n_nationkey) FROM nation")
-_add("delete_where", lambda x: t.delete(x.where("p = 'segment'"), t.construct(t.bgp(x, [("?c", "segment", "BUILDING")]), [("?c", "segment", "BUILDING")])), "SELECT concat('c', c_custkey) AS s, 'segment' AS p, c_mktsegment AS o FROM customer WHERE c_mktsegment <> 'BUILDING'")
-_add("predicate_counts", lambda x: x.groupBy("p").agg(F.count(F.lit(1)).alias("n")).where("p IN ('total', 'placed_by', 'segment', 'in_nation')"), "SELECT 'total' AS p, count(*) AS n FROM orders UNION ALL SELECT 'placed_by', count(*) FROM orders UNION ALL SELECT 'segment', count(*) FROM customer UNION ALL SELECT 'in_nation', (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier)")
-_add("hop_index", lambda x: t.hop_index(x.where("p IN ('total')")).select("e", "p", *[F.round(c, 2).alias(c) for c in ("least", "most", "second")]), "SELECT concat('o', o_orderkey) AS e, 'total' AS p, round(o_totalprice, 2) AS least, round(o_totalprice, 2) AS most, CAST(NULL AS DOUBLE) AS second FROM orders")
-_add("dictionary_size", lambda x: t.dictionary(x.where("p IN ('in_region', 'in_nation')")).agg(F.count_distinct("id").alias("n")), "SELECT count(*) AS n FROM (SELECT 'in_region' AS x UNION SELECT 'in_nation' UNION SELECT concat('n', n_nationkey) FROM nation UNION SELECT concat('r', n_regionkey) FROM nation UNION SELECT concat('c', c_custkey) FROM customer UNION SELECT concat('s', s_suppkey) FROM supplier UNION SELECT concat('n', c_nationkey) FROM customer UNION SELECT concat('n', s_nationkey) FROM supplier)")
+_TOTALS = {"in_region": "nation", "name": "(SELECT 1 FROM nation UNION ALL SELECT 1 FROM region)", "in_nation": "(SELECT 1 FROM customer UNION ALL SELECT 1 FROM supplier)", "balance": "(SELECT 1 FROM customer UNION ALL SELECT 1 FROM supplier)", "segment": "customer", "placed_by": "orders", "total": "orders", "priority": "orders"}
+
+
+def _counts(**changed: str) -> str:
+    """Rows of every predicate, those of ``changed`` ones by another table."""
+    return " UNION ALL ".join(f"SELECT '{p}' AS p, count(*) AS n FROM {source}" for p, source in {**_TOTALS, **changed}.items())
+
+
+def _per_predicate(x: DataFrame) -> DataFrame:
+    return x.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
+
+
+_add("insert_where", lambda x: _per_predicate(t.insert(x, t.construct(t.bgp(x, [("?n", "in_region", "?r")]), [("?r", "has", "?n")]))), _counts(has="nation"))
+_add("delete_where", lambda x: _per_predicate(t.delete(x, t.construct(t.bgp(x, [("?c", "segment", "BUILDING")]), [("?c", "segment", "BUILDING")]))), _counts(segment="(SELECT 1 FROM customer WHERE c_mktsegment <> 'BUILDING')"))
+_add("predicate_counts", _per_predicate, _counts())
+_VALUES = """SELECT concat('c', c_custkey) AS e, 'balance' AS p, c_acctbal AS x, concat('c', c_custkey) AS w FROM customer UNION ALL SELECT concat('s', s_suppkey), 'balance', s_acctbal, concat('s', s_suppkey) FROM supplier
+UNION ALL SELECT concat('o', o_orderkey), 'total', o_totalprice, concat('o', o_orderkey) FROM orders UNION ALL SELECT concat('o', o_orderkey), 'placed_by/balance', c_acctbal, concat('c', c_custkey) FROM orders JOIN customer ON o_custkey = c_custkey
+UNION ALL SELECT concat('c', o_custkey), '^placed_by/total', o_totalprice, concat('o', o_orderkey) FROM orders UNION ALL SELECT concat('n', c_nationkey), '^in_nation/balance', c_acctbal, concat('c', c_custkey) FROM customer
+UNION ALL SELECT concat('n', s_nationkey), '^in_nation/balance', s_acctbal, concat('s', s_suppkey) FROM supplier"""
+_add(
+    "hop_index", lambda x: t.hop_index(x).select("e", "p", *[F.round(c, 2).alias(c) for c in ("least", "most", "second")], "witness", "second_witness"),
+    f"WITH v AS ({_VALUES}), r AS (SELECT *, row_number() OVER (PARTITION BY e, p ORDER BY x DESC, w) AS r FROM v) SELECT e, p, round(min(x), 2) AS least, round(max(x), 2) AS most, round(max(x) FILTER (r = 2), 2) AS second, max(w) FILTER (r = 1) AS witness, max(w) FILTER (r = 2) AS second_witness FROM r GROUP BY e, p",
+)
+_add("dictionary_size", lambda x: t.dictionary(x).agg(F.count_distinct("id").alias("n")), """SELECT (SELECT count(*) FROM (SELECT unnest(['in_region', 'name', 'in_nation', 'balance', 'segment', 'placed_by', 'total', 'priority']) UNION SELECT concat('n', n_nationkey) FROM nation UNION SELECT n_name FROM nation UNION SELECT concat('r', n_regionkey) FROM nation
+UNION SELECT concat('r', r_regionkey) FROM region UNION SELECT r_name FROM region UNION SELECT concat('c', c_custkey) FROM customer UNION SELECT concat('n', c_nationkey) FROM customer UNION SELECT c_mktsegment FROM customer UNION SELECT concat('s', s_suppkey) FROM supplier UNION SELECT concat('n', s_nationkey) FROM supplier
+UNION SELECT concat('o', o_orderkey) FROM orders UNION SELECT concat('c', o_custkey) FROM orders UNION SELECT o_orderpriority FROM orders)) + (SELECT count(*) FROM (SELECT c_acctbal FROM customer UNION SELECT s_acctbal FROM supplier UNION SELECT o_totalprice FROM orders)) AS n""")
 
 
 def khop_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:

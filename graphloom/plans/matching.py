@@ -27,9 +27,11 @@ PATTERNS: dict[str, tuple[int, tuple[tuple[int, str, int], ...], dict[int, int]]
 }
 K = 10
 TYPES = {0: (2, 10), 1: (3, 5, 11), 2: (1, 12)}
+#: Whole type sets, for the composite mode.
+TYPE_SETS = {0: (2, 10), 1: (3, 11)}
 
 GRAPH = """n AS (SELECT count(*) AS N FROM embeddings),
-e AS (SELECT DISTINCT CAST(o_custkey % N AS BIGINT) AS src, o_orderpriority AS rel, CAST((o_orderkey * 7 + 3) % N AS BIGINT) AS dst FROM orders, n WHERE o_orderkey < 6 * N),
+e AS (SELECT DISTINCT CAST(o_custkey % N AS BIGINT) AS src, o_orderpriority AS rel, CAST((o_orderkey * 7 + 3) % N AS BIGINT) AS dst FROM orders, n),
 a AS (SELECT src AS v, rel, dst AS w FROM e UNION SELECT dst, rel, src FROM e),
 ty AS (SELECT vec_id AS v, [label, CAST(10 + vec_id % 3 AS INTEGER)] AS types FROM embeddings)"""
 
@@ -65,7 +67,7 @@ def match_sql(name: str, directed: bool = False, injective: bool = True, mode: s
         tables.append(f"s s{u}")
         where += [f"s{u}.u = {u}", f"s{u}.v = {at[u]}"]
     if mode != "none":
-        for u, ts in TYPES.items():
+        for u, ts in (TYPE_SETS if mode == "composite" else TYPES).items():
             if u < n:
                 tables.append(f"ty t{u}")
                 want = "[" + ", ".join(str(x) for x in sorted(ts)) + "]"
@@ -82,13 +84,13 @@ def match_sql(name: str, directed: bool = False, injective: bool = True, mode: s
     return f"WITH {GRAPH},\n{_distance(ids)}\nSELECT {', '.join(f'{at[u]} AS v{u}' for u in range(n))}, round({' + '.join(f's{u}.d' for u in ids)}, 6) AS score {body} ORDER BY score, {names} LIMIT {K}"
 
 
-def pattern(spark: SparkSession, sf_dir: str, name: str, typed: bool = False) -> Pattern:
+def pattern(spark: SparkSession, sf_dir: str, name: str, mode: str = "none") -> Pattern:
     n, edges, ids = PATTERNS[name]
-    return Pattern(n, edges, fixture.vectors_of(spark, sf_dir, ids), {u: t for u, t in TYPES.items() if u < n} if typed else {})
+    return Pattern(n, edges, fixture.vectors_of(spark, sf_dir, ids), {u: t for u, t in (TYPE_SETS if mode == "composite" else TYPES).items() if u < n} if mode != "none" else {})
 
 
 def _match(name: str, **how) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: match.top_k(fixture.vector_graph(spark, sf_dir), pattern(spark, sf_dir, name, how.get("mode", "none") != "none"), K, **how)
+    return lambda spark, sf_dir: match.top_k(fixture.vector_graph(spark, sf_dir), pattern(spark, sf_dir, name, how.get("mode", "none")), K, **how)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -200,7 +202,7 @@ _add("filter_ldf", _graph(lambda g, p: filters.ldf(g, p, 1)), f"WITH {GRAPH}, {_
 
 
 def _typed(f) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: f(fixture.vector_graph(spark, sf_dir), pattern(spark, sf_dir, "path2", True))
+    return lambda spark, sf_dir: f(fixture.vector_graph(spark, sf_dir), pattern(spark, sf_dir, "path2", "intersection"))
 
 
 _add("filter_ldf_intersection", _typed(lambda g, p: filters.ldf(g, p, 1, "intersection")), f"WITH {GRAPH}, {_SIMPLE} SELECT v FROM sd JOIN ty USING (v) WHERE degree >= 2 AND list_has_any(types, [3, 5, 11])")
@@ -219,7 +221,7 @@ _add(
     f"WITH {GRAPH}, {_CFL} SELECT 0 AS eid, v, w FROM a WHERE rel = '{URGENT}' AND v IN (SELECT v FROM x0) AND w IN (SELECT v FROM m) UNION ALL SELECT 1, v, w FROM a WHERE rel = '{HIGH}' AND v IN (SELECT v FROM m) AND w IN (SELECT v FROM x2)",
 )
 _add("composite_labels", _graph(lambda g, p: filters.composite_labels(g)), f"WITH {GRAPH} SELECT v, CAST(dense_rank() OVER (ORDER BY list_sort(types)) AS INTEGER) AS label FROM ty")
-_add("edge_lookup", _graph(lambda g, p: g.edges.where((F.col("src") == 3) & (F.col("rel") == LOW)).select("src", "rel", "dst")), f"WITH {GRAPH} SELECT src, rel, dst FROM e WHERE src = 3 AND rel = '{LOW}'")
+_add("edge_lookup", _graph(lambda g, p: g.edges.where((F.col("src") == 4) & (F.col("rel") == LOW)).select("src", "rel", "dst")), f"WITH {GRAPH} SELECT src, rel, dst FROM e WHERE src = 4 AND rel = '{LOW}'")
 
 
 def medoid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,11 +15,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def vector_graph(spark: SparkSession, sf_dir: str) -> Graph:
-    """Nodes are the embeddings (types: the label, and 10 + id modulo 3); edges come from the first 6 N orders."""
+    """Nodes are the embeddings (types: the label, and 10 + id modulo 3); edges come from all orders."""
     emb = read(spark, sf_dir, "embeddings")
     n = emb.count()  # from the files' footers
     nodes = emb.select(F.col("vec_id").alias("v"), F.col("embedding").alias("emb"), F.array(F.col("label"), (10 + F.col("vec_id") % 3).cast("int")).alias("types"))
-    o = read(spark, sf_dir, "orders").where(F.col("o_orderkey") < 6 * n)
+    o = read(spark, sf_dir, "orders")
     edges = o.select((F.col("o_custkey") % n).alias("src"), F.col("o_orderpriority").alias("rel"), ((F.col("o_orderkey") * 7 + 3) % n).alias("dst")).distinct()
     return Graph(nodes, edges.withColumn("edge_id", F.xxhash64("src", "rel", "dst")))
 
