@@ -15,8 +15,8 @@ from graphloom.operators.candidates import distances
 from graphloom.operators.graph import Graph
 from graphloom.operators.pattern import Pattern
 
-#: Candidates of each node that the threshold's job looks at.
-SEED = 64
+#: Candidates of each node that the threshold's first job looks at, and how many times more each next one does.
+SEED, STEP = 64, 4
 
 
 def type_filter(types_q: tuple[int, ...] | None, mode: str):
@@ -112,13 +112,15 @@ def top_k(g: Graph, p: Pattern, k: int = 3, directed: bool = False, injective: b
             rows = rows.where(distinct_edges(p))
         return rows.withColumn("score", F.round("score", 6)).orderBy("score", *names).limit(k)
 
-    tau = None
-    if prune and p.vectors:
-        few = {u: c.orderBy("s", "v").limit(SEED) for u, c in cands.items()}
-        found = ranked(few, None).agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("worst")).first()
-        if found["n"] == k:
-            tau = found["worst"]
-            cands = bounds.threshold_prune(cands, tau)
+    tau, most, seed = None, max((n for n, _ in bounds.sizes(cands).values()), default=0) if prune and p.vectors else 0, SEED
+    # a wider look bounds tighter; it goes on until there are k matches, and is as wide as STEP times SEED at least
+    while seed < most and (tau is None or seed <= STEP * SEED):
+        few = {u: c.orderBy("s", "v").limit(seed) for u, c in (cands if tau is None else bounds.threshold_prune(cands, tau)).items()}
+        found = ranked(few, tau).agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("worst")).first()
+        tau = found["worst"] if found["n"] == k else tau
+        seed *= STEP
+    if tau is not None:
+        cands = bounds.threshold_prune(cands, tau)
     return ranked(cands, tau)
 
 
