@@ -7,7 +7,7 @@ uses their product, one row of class scores per hash row: the same function at a
 
 Rejection: scores are scaled by a temperature, and the threshold is the score (as log odds, since probabilities near 1
 round to 1) below which wrong outweighs right: it
-loses the least of the held-back rows predicted right plus of the wrong ones (a share of each). Wrong are held-back rows
+loses the least of the held-back rows predicted right plus of the wrong ones (a share of each), and none of those predicted right. Wrong are held-back rows
 predicted wrong, letter junk, and held-back rows of a language left out of a training of its own. A rejected text
 keeps its best language in ``lang_pred`` with ``rejected`` set.
 
@@ -46,6 +46,8 @@ STEPS = 600
 #: So many languages (those with the most rows) are left out in turn, in trainings of so many steps, and so many held-back
 #: rows of each, and of letter junk, are scored as wrong ones.
 LEFT_OUT, LEFT_OUT_STEPS, WRONG = 4, 150, 200
+#: How far below all held-back rows that are right the threshold stays, as a share of the way to their middle.
+MARGIN = 0.03
 
 _U = np.uint64
 
@@ -191,10 +193,13 @@ def _wrong(model: Model, texts: list[str], bags: list[np.ndarray], y: np.ndarray
 
 
 def cutoff(right: np.ndarray, wrong: np.ndarray) -> float:
-    """The smallest score that loses the least: the share of ``right`` below it and of ``wrong`` at or above it."""
+    """The smallest score that loses the least: the share of ``right`` below it and of ``wrong`` at or above it. It stays below all of
+    ``right`` by MARGIN of the way from their middle to their least, so that clean texts not seen here are kept too."""
     if not len(right) or not len(wrong):
         return -np.inf
-    at = np.unique(np.concatenate([[-np.inf], right, np.nextafter(wrong, np.inf)]))
+    most = right.min() - MARGIN * (np.median(right) - right.min())
+    at = np.unique(np.concatenate([[-np.inf, most], right, np.nextafter(wrong, np.inf)]))
+    at = at[at <= most]
     lost = np.searchsorted(np.sort(right), at) / len(right) + 1 - np.searchsorted(np.sort(wrong), at) / len(wrong)
     return float(at[lost.argmin()])
 
