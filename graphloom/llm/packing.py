@@ -113,8 +113,10 @@ def encode(texts: list[bytes], path: str, word_ids: dict[bytes, bytes], remember
     cores = [w.lower().rstrip(TAIL) for w in seen]
     new = [c for c in set(cores).difference(word_ids) if c]
     wide = {c: c.decode() for c in new if not c.isascii()}
-    letter = _letters(tokenizer, ends, set().union(*wide.values()))
-    new = [c for c in new if (all(map(letter.__getitem__, wide[c])) if c in wide else c.isalpha())]
+    chars = set("".join(wide.values()))
+    letter = _letters(tokenizer, ends, chars)
+    others = {c for c in chars if not letter[c]}
+    new = [c for c in new if (others.isdisjoint(wide[c]) if c in wide else c.isalpha())]
     word_ids.update(_words(tokenizer, ends, new))
     here, odd, tails = {}, [], {b"": b""}
     for w, core in zip(seen, cores):
