@@ -31,9 +31,11 @@ _MASK = (1 << 64) - 1
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or a folder of our own where that is unset."""
+    """The folder all executors see: spark.checkpoint.dir, or a folder of our own where that is unset and all runs on one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = getattr(spark, "_graphloom_shared", None) or tempfile.mkdtemp(prefix="graphloom_")
         spark._graphloom_shared = folder
     return folder.rstrip("/")
