@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from graphloom.operators.candidates import keep
 from graphloom.operators.graph import Graph
 from graphloom.operators.pattern import Pattern
 
@@ -18,11 +19,25 @@ def best_below(g: Graph, p: Pattern, cands: dict[int, DataFrame], root: int, dir
     out = {u: c.select("v", F.col("s").alias("b")) for u, c in cands.items()}
     for parent, child, r, forward in reversed(p.tree(root)):
         below = out[child].select(F.col("v").alias("nbr"), F.col("b").alias("c"))
-        best = g.adjacency(r, directed, forward).join(below, "nbr").groupBy("v").agg(F.min("c").alias("c"))
+        best = g.steps(r, directed, forward).join(below, "nbr").groupBy("v").agg(F.min("c").alias("c"))
         out[parent] = out[parent].join(best, "v").select("v", (F.col("b") + F.col("c")).alias("b"))
     return out
 
 
+def messages(cands: dict[int, DataFrame], tree: list[tuple[int, int, DataFrame]]) -> dict[int, DataFrame]:
+    """(v, s, m..) of each pattern node: ``m{c}`` is the least total that child c and all below it add to v. ``tree`` has
+    (parent, child, pairs (v of the parent, nbr of the child)), parents first. A node that has both a parent and children
+    is read twice, so its rows (as many as candidates at most) are settled."""
+    out = dict(cands)
+    for parent, child, pairs in reversed(tree):
+        sums = [c for c in out[child].columns if c.startswith("m")]
+        if sums:
+            out[child] = keep(out[child], out[child].sparkSession)
+        below = out[child].select(F.col("v").alias("nbr"), reduce(lambda a, c: a + F.col(c), sums, F.col("s")).alias("b"))
+        out[parent] = out[parent].join(pairs.join(below, "nbr").groupBy("v").agg(F.min("b").alias(f"m{child}")), "v")
+    return out
+
+
 def leaf_cap(g: Graph, parent: DataFrame, leaf: DataFrame, rel: str, cap: int, directed: bool = False, forward: bool = True) -> DataFrame:
     """The leaf candidates that are among the ``cap`` best of some parent candidate. Safe for exact top-k where cap is at
     least k + the number of pattern nodes - 1."""

@@ -6,6 +6,8 @@ A candidate table is (u, v, s): pattern node, graph node, distance. Every filter
 from __future__ import annotations
 
 import itertools
+import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -69,14 +71,14 @@ def supported(g: Graph, p: Pattern, u: int, cands: dict[int, DataFrame], directe
         w = b if a == u else a
         if w not in cands:
             continue
-        near = g.adjacency(r, directed, a == u).join(cands[w].select(F.col("v").alias("nbr")), "nbr", "left_semi").select("v").distinct()
+        near = g.steps(r, directed, a == u).join(cands[w].select(F.col("v").alias("nbr")), "nbr", "left_semi").select("v").distinct()
         found = near if found is None else found.join(near, "v", "left_semi")
     return found
 
 
 def refine(g: Graph, p: Pattern, cands: dict[int, DataFrame], directed: bool = False, rounds: int | None = ROUNDS) -> dict[int, DataFrame]:
     """Arc consistency: infers nodes without candidates, then semi-joins every node with its neighbours until the
-    number of candidates stays (or for ``rounds``). Each round is checkpointed, so lineage stays short."""
+    number of candidates stays (or for ``rounds``). Each round is settled, so lineage stays short."""
     spark = g.nodes.sparkSession
     full = distances(g, {u: p.vectors.get(u) for u in range(p.nodes)})
     now, before = dict(cands), None
@@ -99,15 +101,34 @@ def refine(g: Graph, p: Pattern, cands: dict[int, DataFrame], directed: bool = F
     return now
 
 
-def keep(df: DataFrame, spark) -> DataFrame:
-    """Cuts the lineage by a reliable checkpoint (the folder comes from the session; our own only where unset)."""
-    import tempfile
-
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+def keep(df: DataFrame, spark, placed: bool = False) -> DataFrame:
+    """Cuts the lineage by a table in the shared folder (it comes from the session; our own only where unset).
+
+    The rows are computed once, outlive lost executors, and their size is known to the planner. The file system removes
+    the table when the application ends. ``placed``: by a reliable checkpoint instead, which keeps the partitioning for
+    joins on it in every round.
+    """
+    where = _folder(spark)
+    if placed:
+        return df.checkpoint()
+    path = f"{where}/graphloom_{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _folder(spark) -> str:
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not where and held.isDefined():
+        where = held.get()
+    if not where:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="graphloom_"))
-    return df.checkpoint()
+        where = tempfile.mkdtemp(prefix="graphloom_")
+        spark.sparkContext.setCheckpointDir(where)
+    return where.rstrip("/")
 
 
 def flat(cands: dict[int, DataFrame]) -> DataFrame:

@@ -17,8 +17,8 @@ def core_numbers(g: Graph) -> DataFrame:
     neighbour once; neighbours are counted by estimate before the window, so a hub's window holds its distinct estimates.
     """
     spark = g.nodes.sparkSession
-    adj = keep(g.adjacency(None, False).where("v <> nbr").repartition("nbr"), spark)
-    now = keep(adj.groupBy("nbr").agg(F.count(F.lit(1)).alias("est")), spark)  # both ends of every edge are there
+    adj = keep(g.adjacency(None, False).where("v <> nbr").repartition("nbr"), spark, placed=True)
+    now = keep(adj.groupBy("nbr").agg(F.count(F.lit(1)).alias("est")), spark, placed=True)  # both ends of every edge are there
     total = None
     while True:
         state = now.agg(F.sum("est")).first()[0]
@@ -27,7 +27,7 @@ def core_numbers(g: Graph) -> DataFrame:
         total = state
         counts = adj.join(now, "nbr").groupBy("v", "est").agg(F.count(F.lit(1)).alias("n"))
         above = F.sum("n").over(W.partitionBy("v").orderBy(F.desc("est")))
-        now = keep(counts.withColumn("h", F.least("est", above)).groupBy(F.col("v").alias("nbr")).agg(F.max("h").alias("est")), spark)
+        now = keep(counts.withColumn("h", F.least("est", above)).groupBy(F.col("v").alias("nbr")).agg(F.max("h").alias("est")), spark, placed=True)
     return g.nodes.select("v").join(now.withColumnRenamed("nbr", "v"), "v", "left").select("v", F.coalesce("est", F.lit(0)).cast("long").alias("core"))
 
 

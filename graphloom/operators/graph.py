@@ -22,10 +22,14 @@ class Graph:
 
     def adjacency(self, rel: str | None, directed: bool, forward: bool = True) -> DataFrame:
         """Distinct (v, nbr) pairs over a relation (None: any), from either end if undirected."""
+        return self.steps(rel, directed, forward).distinct()
+
+    def steps(self, rel: str | None, directed: bool, forward: bool = True) -> DataFrame:
+        """The same pairs as often as there are edges: no shuffle, for semi-joins, minima and other uses that repeats don't change."""
         e = self.edges if rel is None else self.edges.where(F.col("rel") == rel)
         there = e.select(F.col("src").alias("v"), F.col("dst").alias("nbr"))
         back = e.select(F.col("dst").alias("v"), F.col("src").alias("nbr"))
-        return (there.unionByName(back) if not directed else there if forward else back).distinct()
+        return there.unionByName(back) if not directed else there if forward else back
 
     def degrees(self) -> DataFrame:
         """(v, n_out, n_in, degree) over all edges."""

@@ -7,6 +7,8 @@ threshold: the k-th best score among matches of the best few candidates bounds a
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,18 +29,11 @@ def type_filter(types_q: tuple[int, ...] | None, mode: str):
     return F.arrays_overlap("types", q) if mode == "intersection" else F.array_sort("types") == q
 
 
-def chain(g: Graph, p: Pattern, cands: dict[int, DataFrame], directed: bool, injective: bool, tau: float | None = None, label_sets: bool = False) -> DataFrame:
-    """All matches: (v0.., score). ``label_sets``: of parallel pattern edges any relation suffices."""
-    rest: dict[int, float] = {}
-    many = None
-    if tau is not None:
-        known = bounds.sizes(cands)
-        rest = {u: known[u][1] if u in known else 0.0 for u in cands}
-        many = {u: known[u][0] if u in known else 0 for u in cands}
-    order = p.order(many)
+def chain(g: Graph, p: Pattern, cands: dict[int, DataFrame], directed: bool, injective: bool, tau: float | None = None, label_sets: bool = False, order: list[int] | None = None) -> DataFrame:
+    """All matches: (v0.., score). ``label_sets``: of parallel pattern edges any relation suffices. ``order``: of the joins."""
+    known = bounds.sizes(cands) if tau is not None else {}
+    order = order or p.order({u: known[u][0] if u in known else 0 for u in cands} if tau is not None else None)
     first = order[0]
-    got = cands[first].select(F.col("v").alias(f"v{first}"), F.col("s").alias("score"))
-    done = [first]
     groups: dict[tuple[int, int], list[tuple[int, str, int]]] = {}
     for e in dict.fromkeys(p.edges):
         key = (min(e[0], e[2]), max(e[0], e[2])) if label_sets else e
@@ -59,27 +54,45 @@ def chain(g: Graph, p: Pattern, cands: dict[int, DataFrame], directed: bool, inj
             df = df.join(own, f"v{u}", "left_semi")
         return df
 
-    got = loops(got, first)
+    other = lambda e, u: e[0] if e[2] == u else e[2]
+    steps, done = [], [first]
     for u in order[1:]:
-        mine = [es for es in groups.values() if es[0][0] != es[0][2] and u in (es[0][0], es[0][2]) and (es[0][0] in done or es[0][2] in done)]
-        c = cands[u].select(F.col("v").alias(f"v{u}"), F.col("s").alias("s"))
+        steps.append((u, [es for es in groups.values() if es[0][0] != es[0][2] and u in (es[0][0], es[0][2]) and other(es[0], u) in done]))
+        done.append(u)
+    tree = [(other(mine[0][0], u), u, pairs(mine[0], u)) for u, mine in steps if mine]
+    own = {u: c.select("v", "s") for u, c in cands.items()}
+    if tau is not None:
+        own = bounds.messages(own, tree)
+    rest, whole = {u: n[1] for u, n in known.items()}, {first: {first}}
+    for u, mine in steps:  # which nodes' messages arrive at the first of their connected part
+        at = next((r for r, part in whole.items() if mine and other(mine[0][0], u) in part), u)
+        whole.setdefault(at, set()).add(u)
+
+    def cut(df: DataFrame, done: list[int]) -> DataFrame:
+        """Drops partial matches whose score, with the least that each tree branch and each part not begun adds, exceeds tau."""
+        if tau is None:
+            return df
+        least = F.col("score") + F.lit(float(sum(rest.get(x, 0.0) for r, part in whole.items() if r not in done for x in part)))
+        return df.where(reduce(lambda x, c: x + F.col(c), [c for c in df.columns if c.startswith("m")], least) <= F.lit(tau + 2e-6))
+
+    as_node = lambda u, name: own[u].withColumnsRenamed({"v": f"v{u}", "s": name})
+    got, done = cut(loops(as_node(first, "score"), first), [first]), [first]
+    for u, mine in steps:
         if mine:
-            w = mine[0][0][0] if mine[0][0][2] == u else mine[0][0][2]
-            got = got.join(pairs(mine[0], u).select(F.col("v").alias(f"v{w}"), F.col("nbr").alias(f"v{u}")), f"v{w}").join(c, f"v{u}")
+            w = other(mine[0][0], u)
+            got = got.drop(f"m{u}").join(pairs(mine[0], u).select(F.col("v").alias(f"v{w}"), F.col("nbr").alias(f"v{u}")), f"v{w}").join(as_node(u, "s"), f"v{u}")
         else:  # a part of the pattern of its own: bounded candidates on one side, all partial matches on the other
-            got = got.join(c)
-        for es in mine[1:]:
-            w = es[0][0] if es[0][2] == u else es[0][2]
-            got = got.join(pairs(es, u).select(F.col("v").alias(f"v{w}"), F.col("nbr").alias(f"v{u}")), [f"v{w}", f"v{u}"], "left_semi")
+            got = got.join(as_node(u, "s"))
+        got = got.withColumn("score", F.col("score") + F.col("s")).drop("s")
         if injective:
             for w in done:
                 got = got.where(F.col(f"v{w}") != F.col(f"v{u}"))
-        got = got.withColumn("score", F.col("score") + F.col("s")).drop("s")
         done.append(u)
+        got = cut(got, done)
+        for es in mine[1:]:
+            w = other(es[0], u)
+            got = got.join(pairs(es, u).select(F.col("v").alias(f"v{w}"), F.col("nbr").alias(f"v{u}")), [f"v{w}", f"v{u}"], "left_semi")
         got = loops(got, u)
-        if tau is not None:
-            left = sum(rest[x] for x in order if x not in done)
-            got = got.where(F.col("score") + F.lit(left) <= F.lit(tau + 2e-6))
     return got.select(*[f"v{u}" for u in range(p.nodes)], "score")
 
 
@@ -101,13 +114,13 @@ def distinct_edges(p: Pattern):
     return F.size(F.array_distinct(F.array(*each))) == len(each)
 
 
-def top_k(g: Graph, p: Pattern, k: int = 3, directed: bool = False, injective: bool = True, mode: str = "none", label_sets: bool = False, edge_distinct: bool = False, cands: dict[int, DataFrame] | None = None, prune: bool = True) -> DataFrame:
+def top_k(g: Graph, p: Pattern, k: int = 3, directed: bool = False, injective: bool = True, mode: str = "none", label_sets: bool = False, edge_distinct: bool = False, cands: dict[int, DataFrame] | None = None, prune: bool = True, order: list[int] | None = None) -> DataFrame:
     """(v0.., score): the k matches of least total distance, ordered by (score to 6 digits, ids)."""
     cands = cands or candidates_of(g, p, mode)
     names = [f"v{u}" for u in range(p.nodes)]
 
     def ranked(c: dict[int, DataFrame], tau: float | None) -> DataFrame:
-        rows = chain(g, p, c, directed, injective, tau, label_sets)
+        rows = chain(g, p, c, directed, injective, tau, label_sets, order)
         if edge_distinct:
             rows = rows.where(distinct_edges(p))
         return rows.withColumn("score", F.round("score", 6)).orderBy("score", *names).limit(k)

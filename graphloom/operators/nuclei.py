@@ -49,8 +49,8 @@ def nucleus_numbers(g: Graph, r: int) -> DataFrame:
     spark = g.nodes.sparkSession
     oriented = _oriented(g)
     parts = cliques(g, r + 1, oriented).select("s", F.explode(F.array(*map(_without, range(r + 1)))).alias("part"))
-    parts = keep(parts.repartition("part"), spark)
-    now = keep(parts.groupBy("part").agg(F.count(F.lit(1)).alias("est")), spark)
+    parts = keep(parts.repartition("part"), spark, placed=True)
+    now = keep(parts.groupBy("part").agg(F.count(F.lit(1)).alias("est")), spark, placed=True)
     total = None
     while True:
         state = now.agg(F.sum("est")).first()[0]
@@ -62,7 +62,7 @@ def nucleus_numbers(g: Graph, r: int) -> DataFrame:
         worth = F.when(F.col("x.part") == F.col("least.part"), F.col("next")).otherwise(F.col("least.est"))
         counts = each.select(F.col("x.part").alias("part"), worth.alias("est")).groupBy("part", "est").agg(F.count(F.lit(1)).alias("n"))
         above = F.sum("n").over(W.partitionBy("part").orderBy(F.desc("est")))
-        now = keep(counts.withColumn("h", F.least("est", above)).groupBy("part").agg(F.max("h").alias("est")), spark)
+        now = keep(counts.withColumn("h", F.least("est", above)).groupBy("part").agg(F.max("h").alias("est")), spark, placed=True)
     every = cliques(g, r, oriented)
     return every.join(now.withColumnRenamed("part", "s"), "s", "left").select("s", F.coalesce("est", F.lit(0)).cast("long").alias("n"))
 

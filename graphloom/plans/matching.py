@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import vector
-from graphloom.operators import bounds, candidates, filters, match
+from graphloom.operators import bounds, candidates, filters, match, orders
 from graphloom.operators.pattern import Pattern
 from graphloom.sources import fixture
 
@@ -211,13 +211,60 @@ _NEAR = f"""r AS (SELECT 0 AS u, 1 AS w, '{URGENT}' AS rel UNION ALL SELECT 1, 2
 _CFL = f"""{_SIMPLE}, l AS (SELECT v FROM sd WHERE degree >= 1), m0 AS (SELECT v FROM sd WHERE degree >= 2),
 m AS (SELECT v FROM m0 WHERE v IN (SELECT v FROM a WHERE rel = '{URGENT}' AND w IN (SELECT v FROM l)) AND v IN (SELECT v FROM a WHERE rel = '{HIGH}' AND w IN (SELECT v FROM l))),
 x0 AS (SELECT v FROM l WHERE v IN (SELECT v FROM a WHERE rel = '{URGENT}' AND w IN (SELECT v FROM m))), x2 AS (SELECT v FROM l WHERE v IN (SELECT v FROM a WHERE rel = '{HIGH}' AND w IN (SELECT v FROM m)))"""
-for _filter in ("gql", "rm", "calig"):
-    _add(f"filter_{_filter}", _graph(lambda g, p, x=_filter: candidates.flat(filters.run(x, g, p)).select("u", "v")), f"WITH {GRAPH}, {_CFL} SELECT 0 AS u, v FROM x0 UNION ALL SELECT 1, v FROM m UNION ALL SELECT 2, v FROM x2")
+_add("filter_rm", _graph(lambda g, p: candidates.flat(filters.run("rm", g, p)).select("u", "v")), f"WITH {GRAPH}, {_CFL} SELECT 0 AS u, v FROM x0 UNION ALL SELECT 1, v FROM m UNION ALL SELECT 2, v FROM x2")
+
+
+def filter_sql(name: str, pattern_name: str, root: int) -> str:
+    """Candidates after each step of a filter's plan, as one chain of CTEs; matching by choosing different neighbours."""
+    n, edges, ids = PATTERNS[pattern_name]
+    p = Pattern(n, edges)
+    at, parts = {}, [GRAPH, _distance(ids), _KNN, "sd AS (SELECT v, count(DISTINCT w) AS degree FROM a WHERE v <> w GROUP BY v)"]
+    for u in range(n):
+        at[u] = f"c{u}"
+        parts.append(f"c{u} AS (SELECT v FROM sd JOIN knn USING (v) WHERE knn.u = {u} AND degree >= {len(set(p.neighbours(u)))})")
+    for i, (kind, u, ws) in enumerate(step for steps in filters.plan(name, p, root) for step in steps):
+        pairs = [" INTERSECT ".join(f"SELECT v, w FROM a WHERE rel = '{r}'" for x, r, y in edges if {x, y} == {u, w}) for w in ws]
+        if kind == "semi":
+            keep = " AND ".join(f"v IN (SELECT v FROM ({x}) WHERE v <> w AND w IN (SELECT v FROM {at[w]}))" for w, x in zip(ws, pairs))
+        else:
+            joined = ", ".join(f"(SELECT v, w FROM ({x}) WHERE v <> w AND w IN (SELECT v FROM {at[w]})) y{j}" for j, (w, x) in enumerate(zip(ws, pairs)))
+            differ = [f"y{j}.v = y0.v" for j in range(1, len(ws))] + [f"y{j}.w <> y{k}.w" for j in range(len(ws)) for k in range(j)]
+            keep = f"v IN (SELECT y0.v FROM {joined} WHERE {' AND '.join(differ) or 'true'})"
+        parts.append(f"z{i} AS MATERIALIZED (SELECT v FROM {at[u]} WHERE {keep})")
+        at[u] = f"z{i}"
+    return f"WITH {', '.join(parts)} " + " UNION ALL ".join(f"SELECT {u} AS u, v FROM {at[u]}" for u in range(n))
+
+
+def _filtered(name: str, on: str) -> Callable[[SparkSession, str], DataFrame]:
+    """The filter over the nearest nodes of each pattern node, which leaves it something to do in a dense graph."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        g, p = fixture.vector_graph(spark, sf_dir), pattern(spark, sf_dir, on)
+        near = candidates.nearest(g, p.vectors, _BUDGET)
+        return candidates.flat(filters.run(name, g, p, root=0, cands={u: near.where(F.col("u") == u).select("v", "s") for u in range(p.nodes)})).select("u", "v")
+
+    return query
+
+
+for _filter, _on in (("gql", "star3"), ("calig", "tree5"), ("tso", "triangle"), ("cfl", "cycle4"), ("dpiso", "path3"), ("ceci", "cycle4"), ("veq", "tree5")):
+    _add(f"filter_{_filter}", _filtered(_filter, _on), filter_sql(_filter, _on, 0))
 for _filter in ("tso", "cfl", "dpiso", "ceci", "veq"):
     # a named filter may be looser than the fixpoint, never wrong: the matches are the same under it
     _add(f"match_filtered_{_filter}", _graph(lambda g, p, x=_filter: match.top_k(g, p, K, cands=filters.run(x, g, p))), match_sql("path2"))
+
+
+def _ordered(name: str, by: str) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        g, p = fixture.vector_graph(spark, sf_dir), pattern(spark, sf_dir, name)
+        return match.top_k(g, p, K, order=orders.order(by, p, orders.statistics(g, p, match.candidates_of(g, p))))
+
+    return query
+
+
+for _order, _on in (("gql", "path2"), ("qsi", "triangle"), ("cfl", "cycle4"), ("ri", "star3"), ("vf2pp", "tree5")):
+    _add(f"match_order_{_order}", _ordered(_on, _order), match_sql(_on))
 _add(
-    "candidate_edges", _graph(lambda g, p: filters.candidate_edges(g, p, filters.run("gql", g, p))),
+    "candidate_edges", _graph(lambda g, p: filters.candidate_edges(g, p, filters.run("rm", g, p))),
     f"WITH {GRAPH}, {_CFL} SELECT 0 AS eid, v, w FROM a WHERE rel = '{URGENT}' AND v IN (SELECT v FROM x0) AND w IN (SELECT v FROM m) UNION ALL SELECT 1, v, w FROM a WHERE rel = '{HIGH}' AND v IN (SELECT v FROM m) AND w IN (SELECT v FROM x2)",
 )
 _add("composite_labels", _graph(lambda g, p: filters.composite_labels(g)), f"WITH {GRAPH} SELECT v, CAST(dense_rank() OVER (ORDER BY list_sort(types)) AS INTEGER) AS label FROM ty")

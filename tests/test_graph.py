@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions import vector
-from graphloom.operators import bounds, candidates, cores, filters, match, nuclei, paths, updates
+from graphloom.operators import bounds, candidates, cores, filters, match, nuclei, orders, paths, updates
 from graphloom.operators import triples as t
 from graphloom.operators.graph import Graph
 from graphloom.operators.pattern import Pattern, merged
@@ -287,3 +287,45 @@ def test_command_line(spark, tmp_path, capsys):
     cli.main(["backup", str(tmp_path / "t.nt"), str(tmp_path / "s")])
     cli.main(["restore", str(tmp_path / "s"), str(tmp_path / "o")])
     assert [tuple(x) for x in spark.read.parquet(str(tmp_path / "o")).collect()] == [("a", "p", "b")]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_filters_and_orders(spark, seed):
+    """Every filter keeps every node of a match and agrees with matching by brute force; every order gives the same matches."""
+    r = random.Random(seed)
+    points = [[r.random(), r.random()] for _ in range(9)]
+    edges = list({(r.randrange(9), r.choice("ab"), r.randrange(9)) for _ in range(22)})
+    g = graph(spark, points, edges)
+    p = [Pattern(4, ((0, "a", 1), (0, "a", 2), (0, "b", 3))), Pattern(4, ((0, "a", 1), (1, "b", 2), (2, "a", 3), (3, "b", 0))), Pattern(3, ((0, "a", 1), (1, "a", 2), (2, "b", 0)))][seed]
+    p = Pattern(p.nodes, p.edges, {u: [r.random(), r.random()] for u in range(p.nodes)})
+    best = brute(points, edges, p, 5)
+    used = {u: {m[u + 1] for m in brute(points, edges, p, 10**6)} for u in range(p.nodes)}
+    near = {(x, rel): {b if a == x else a for a, q, b in edges if q == rel and x in (a, b)} - {x} for x in range(9) for rel in "ab"}
+    every = {u: set(range(9)) for u in range(p.nodes)}
+    for u in range(p.nodes):
+        ws = [(w, rel) for a, rel, b in p.edges for w in [b if a == u else a] if u in (a, b)]
+        want = {v for v in range(9) if any(len(set(c)) == len(c) for c in itertools.product(*[near[v, rel] & every[w] for w, rel in ws]))}
+        assert {x["v"] for x in filters.matchable(g, p, u, tuple(w for w, _ in ws), match.candidates_of(g, p)).collect()} == want
+    for name in ("gql", "calig", "tso", "cfl", "dpiso", "ceci", "veq", "rm"):
+        got = filters.run(name, g, p)
+        kept = candidates.flat(got).collect()
+        assert all(used[u] <= {x["v"] for x in kept if x["u"] == u} for u in used), name
+    s = orders.statistics(g, p, match.candidates_of(g, p))
+    for name in orders.ORDERS:
+        assert rows(match.top_k(g, p, 5, order=orders.order(name, p, s)), p.nodes) == best, name
+    for order in orders.spectrum(p, 3):
+        assert orders.valid(p, order)
+        assert rows(match.top_k(g, p, 5, order=order), p.nodes) == best
+
+
+def test_order_rules():
+    """Two triangles with a tail and a part of its own; counts decide where structure does not."""
+    p = Pattern(7, ((0, "a", 1), (1, "a", 2), (2, "a", 0), (2, "a", 3), (3, "a", 4), (5, "a", 6)))
+    s = orders.Statistics({0: 50, 1: 40, 2: 30, 3: 20, 4: 10, 5: 5, 6: 7}, {(0, 1): 90, (1, 2): 80, (0, 2): 70, (2, 3): 60, (3, 4): 5, (5, 6): 50})
+    assert orders.gql(p, s) == [5, 6, 4, 3, 2, 1, 0]
+    assert orders.qsi(p, s)[:4] == [3, 4, 2, 0]
+    assert orders.ri(p, s)[0] == 2
+    assert set(orders.cfl(p, s)[:3]) == {0, 1, 2}
+    assert all(orders.valid(p, orders.order(name, p, s)) for name in orders.ORDERS)
+    assert len(orders.spectrum(Pattern(3, ((0, "a", 1), (1, "a", 2))), 99)) == 4
+    assert not orders.valid(p, [0, 1, 2, 3, 4, 5]) and not orders.valid(p, [0, 4, 1, 2, 3, 5, 6])
