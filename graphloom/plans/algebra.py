@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.operators import paths
+from graphloom.operators import paths, text
 from graphloom.operators import triples as t
 from graphloom.plans.matching import GRAPH, HIGH, LOW, URGENT
 from graphloom.sources import fixture
@@ -68,6 +68,23 @@ UNION SELECT concat('r', r_regionkey) FROM region UNION SELECT r_name FROM regio
 UNION SELECT concat('o', o_orderkey) FROM orders UNION SELECT concat('c', o_custkey) FROM orders UNION SELECT o_orderpriority FROM orders)) + (SELECT count(*) FROM (SELECT c_acctbal FROM customer UNION SELECT s_acctbal FROM supplier UNION SELECT o_totalprice FROM orders)) AS n""")
 
 
+
+def _text(name: str, query: str, sql: str, *rounded: str) -> None:
+    """A query as text; ``rounded`` columns are rounded for the comparison."""
+    _add(name, lambda x: (lambda out: out.select(*[F.round(c, 2).alias(c) if c in rounded else c for c in out.columns]))(text.run(x, query)), sql)
+
+
+_text("text_join", "SELECT * WHERE { ?c in_nation ?n ; segment ?g . ?n in_region ?r }", SQL["bgp_join"])
+_text("text_optional", "SELECT ?c ?n ?o { ?c in_nation ?n . ?c segment ?g OPTIONAL { ?o placed_by ?c } }", SQL["optional"])
+_text("text_minus", f'SELECT ?c ?n {{ ?c in_nation ?n ; segment ?g MINUS {{ ?o placed_by ?c ; priority "{URGENT}" }} }}', SQL["minus"])
+_text("text_union", "SELECT * { { ?c segment ?g } UNION { ?s in_nation ?n . ?n in_region ?r } }", SQL["union"])
+_text("text_filter", f'SELECT ?o ?p {{ ?o total ?v ; priority ?p FILTER(?v > 200000 && ?p != "{LOW}") }}', SQL["filter"])
+_text("text_group", "SELECT ?n (COUNT(*) AS ?orders) (SUM(?v) AS ?total) (AVG(?v) AS ?mean) (MIN(?v) AS ?least) (MAX(?v) AS ?most) { ?o placed_by ?c . ?c in_nation ?n . ?o total ?v } GROUP BY ?n", SQL["group_agg"], "total", "mean", "least", "most")
+_text("text_topk", "SELECT ?o ?c (?v + 2*?b AS ?score) { ?o placed_by ?c ; total ?v . ?c balance ?b } ORDER BY DESC(?score) LIMIT 10", "SELECT concat('o', o_orderkey) AS o, concat('c', c_custkey) AS c, round(o_totalprice + 2 * c_acctbal, 2) AS score FROM orders JOIN customer ON o_custkey = c_custkey ORDER BY o_totalprice + 2 * c_acctbal DESC, o, c LIMIT 10", "score")
+_text("text_ask", "ASK { ?c segment MACHINERY ; in_nation n1 }", SQL["ask"])
+_add("text_delete", lambda x: _per_predicate(text.run(x, "DELETE { ?c segment BUILDING } WHERE { ?c segment BUILDING }")), SQL["delete_where"])
+
+
 def khop_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.reachable(fixture.vector_graph(spark, sf_dir), spark.createDataFrame([(3,), (17,)], "origin long"), 3)
 

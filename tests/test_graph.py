@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions import vector
-from graphloom.operators import bounds, candidates, cores, filters, match, nuclei, orders, paths, updates
+from graphloom.operators import bounds, candidates, cores, filters, match, nuclei, orders, paths, text, updates
 from graphloom.operators import triples as t
 from graphloom.operators.graph import Graph
 from graphloom.operators.pattern import Pattern, merged
@@ -329,3 +329,32 @@ def test_order_rules():
     assert all(orders.valid(p, orders.order(name, p, s)) for name in orders.ORDERS)
     assert len(orders.spectrum(Pattern(3, ((0, "a", 1), (1, "a", 2))), 99)) == 4
     assert not orders.valid(p, [0, 1, 2, 3, 4, 5]) and not orders.valid(p, [0, 4, 1, 2, 3, 5, 6])
+
+
+def test_text(spark):
+    """Texts against results counted by hand, and what is refused."""
+    x = spark.createDataFrame([("a", "knows", "b"), ("b", "knows", "c"), ("a", "age", "30"), ("b", "age", "9"), ("c", "age", "old"), ("c", "nick", 'say "c"')], "s string, p string, o string")
+    got = lambda q: [tuple(r) for r in text.run(x, q).collect()]
+    assert sorted(got("SELECT ?x ?y WHERE { ?x knows ?y }")) == [("a", "b"), ("b", "c")]
+    assert got("SELECT ?x { ?x age ?n FILTER(?n > 8) } ORDER BY ?n") == [("b",), ("a",)]  # by number; what is none is refused
+    assert got("SELECT ?x { ?x age ?n } ORDER BY DESC(?n) LIMIT 1 OFFSET 1") == [("b",)]
+    assert got("SELECT ?x ?k { ?x age ?n OPTIONAL { ?x nick ?k } FILTER(BOUND(?k)) }") == [("c", 'say "c"')]
+    assert got("SELECT ?x { ?x nick \"say \\\"c\\\"\" }") == [("c",)]
+    assert got("SELECT ?x { ?x age ?n MINUS { ?x knows ?y } }") == [("c",)]
+    assert sorted(got("SELECT ?x ?a { { ?x knows <b> } UNION { ?x nick ?a } }"), key=str) == [("a", None), ("c", 'say "c"')]
+    assert got("SELECT (COUNT(DISTINCT ?y) AS ?n) (SUM(?a) / COUNT(*) AS ?m) { ?x knows ?y ; age ?a }") == [(2, 19.5)]
+    assert got("SELECT DISTINCT ?p { ?x ?p ?o FILTER(STRSTARTS(?p, \"k\") || !(?p != \"nick\")) } ORDER BY ?p") == [("knows",), ("nick",)]
+    assert got("SELECT ?x ?z { ?x knows ?y BIND(UCASE(?y) AS ?z) FILTER(-1 < 0 && STRLEN(?z) = 1) } ORDER BY ?x") == [("a", "B"), ("b", "C")]
+    assert got("SELECT ?x ?q { ?x nick ?k }") == [("c", None)]
+    assert got("ASK { c knows ?x }") == [(False,)]
+    assert text.run(x, "INSERT { ?y knownby ?x } WHERE { ?x knows ?y }").count() == 8
+    assert text.run(x, "DELETE { ?x age ?n } WHERE { ?x age ?n FILTER(?n < 10) }").count() == 5
+    for bad in (
+        "SELECT * { ?x age ?n } GROUP BY ?x", "SELECT ?n { ?x age ?n } GROUP BY ?x", "SELECT ?x { ?x ?p ?y . ?p knows ?z }", "SELECT ?x { ?x age", "SELECT { ?x age ?n }",
+        "SELECT ?x { ?x age ?n } LIMIT 1.5", "FIND ?x", "SELECT ?x { FILTER(?x > 1) }", "SELECT ?x { ?x age ?n FILTER(SOUNDS(?n)) }", "SELECT ?x { ?x age ?n FILTER(?n) }", "SELECT ?x { ?x age ?n } junk", "SELECT ?x { ?x age @ }",
+    ):
+        with pytest.raises(text.QueryError):
+            text.run(x, bad)
+    p = Pattern(3, ((0, "knows", 1), (1, "age", 2)))
+    assert text.of_pattern(p, 3) == 'SELECT ?v0 ?v1 ?v2 WHERE { ?v0 "knows" ?v1 . ?v1 "age" ?v2 } ORDER BY DESC(?v0 + ?v1 + ?v2) LIMIT 3'
+    assert got(text.of_pattern(p, 3)) == [("a", "b", "9"), ("b", "c", "old")]
