@@ -6,6 +6,7 @@ import argparse
 import json
 import threading
 import time
+from collections.abc import Callable
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
@@ -25,8 +26,8 @@ def graph_of(spark: SparkSession, folder: str) -> Graph:
     return Graph(nodes, tables["edges"])
 
 
-def within(spark: SparkSession, seconds: float, name: str, df: DataFrame) -> list | None:
-    """The rows of ``df`` (at most k), or None where its jobs were cancelled as the time ran out."""
+def within(spark: SparkSession, seconds: float, name: str, made: Callable[[], DataFrame]) -> list | None:
+    """The rows of what is made (at most k), or None where its jobs were cancelled as the time ran out; jobs of making it count too."""
     spark.sparkContext.setJobGroup(name, name, interruptOnCancel=True)
     late = threading.Event()
 
@@ -37,7 +38,7 @@ def within(spark: SparkSession, seconds: float, name: str, df: DataFrame) -> lis
     timer = threading.Timer(seconds, stop)
     timer.start()
     try:
-        return df.collect()
+        return made().collect()
     except (PySparkException, Py4JJavaError):  # a cancelled job comes as it is or wrapped
         if not late.is_set():
             raise
@@ -52,7 +53,7 @@ def run_patterns(spark: SparkSession, graph: str, patterns: str, k: int, directe
     g, out = graph_of(spark, graph), []
     for number, row in enumerate(spark.read.text(patterns).where(F.trim("value") != "").collect()):
         p, began = pattern_of(row["value"]), time.time()
-        rows = within(spark, limit, f"pattern-{number}", match.top_k(g, p, k, directed, injective, prune=False))
+        rows = within(spark, limit, f"pattern-{number}", lambda p=p: match.top_k(g, p, k, directed, injective))
         found = [{"score": r["score"], "nodes": [r[f"v{u}"] for u in range(p.nodes)]} for r in rows or ()]
         out.append({"pattern": number, "timeout": rows is None, "seconds": round(time.time() - began, 3), "matches": found})
     return out

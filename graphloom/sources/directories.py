@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAGIC = b"EMBEDBIN"
+RDF_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
 
 
 def _lines(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
@@ -133,11 +134,45 @@ def _named(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return {"nodes": nodes, "edges": edges.select(F.monotonically_increasing_id().alias("edge_id"), "src", "rel", "dst"), "relations": relations, "node_types": types}
 
 
-def result_lines(matches: DataFrame) -> DataFrame:
-    """(line): score|sid---rid---did|sname---rname---dname per pattern edge, from (rank, eid, score, src, rel_id, dst and names)."""
+def result_lines(matches: DataFrame, layout: str = "plain") -> DataFrame:
+    """(line): score|sid---rid---did|sname---rname---dname per pattern edge, from (rank, eid, score, src, rel_id, dst and names).
+
+    ``plain`` has 8 digits; ``sorted`` puts the smaller id of an edge first, so that direction is lost; ``known`` writes
+    edges that the graph lacks (null rel_id) as relation 0, UNKNOWN_REL; ``ranked`` begins with the rank and two spaces,
+    has 9 digits, and leaves type triples out.
+    """
+    if layout not in ("plain", "sorted", "known", "ranked"):
+        raise ValueError(f"unknown layout: {layout}")
+    if layout == "sorted":
+        swap = F.col("src") > F.col("dst")
+        matches = matches.withColumns({c: F.when(swap, F.col(d)).otherwise(F.col(c)) for c, d in (("src", "dst"), ("dst", "src"), ("src_name", "dst_name"), ("dst_name", "src_name"))})
+    if layout == "known":
+        matches = matches.withColumns({"rel": F.when(F.col("rel_id").isNull(), "UNKNOWN_REL").otherwise(F.col("rel")), "rel_id": F.coalesce("rel_id", F.lit(0))})
     each = F.concat(F.lit("|"), F.concat_ws("---", "src", "rel_id", "dst"), F.lit("|"), F.concat_ws("---", "src_name", "rel", "dst_name"))
+    if layout == "ranked":
+        each = F.when(F.col("rel").isin(RDF_TYPE, f"<{RDF_TYPE}>"), "").otherwise(each)
     rows = matches.groupBy("rank").agg(F.first("score").alias("score"), F.array_sort(F.collect_list(F.struct("eid", each.alias("t")))).alias("e"))
-    return rows.orderBy("rank").select(F.concat(F.format_string("%.8g", "score"), F.array_join(F.transform("e", lambda x: x["t"]), "")).alias("line"))
+    score = F.format_string("%.9g" if layout == "ranked" else "%.8g", "score")
+    score = F.regexp_replace(F.regexp_replace(score, r"(\.\d*?)0+(e|$)", "$1$2"), r"\.(e|$)", "$1")  # no zeros at the end
+    head = F.concat("rank", F.lit("  "), score) if layout == "ranked" else score
+    return rows.orderBy("rank").select(F.concat(head, F.array_join(F.transform("e", lambda x: x["t"]), "")).alias("line"))
+
+
+def query_folders(spark: SparkSession, root: str) -> list[tuple[str, int, str]]:
+    """(series, number, path) of the numbered pattern folders of root, or of the series folders in it, in the order in
+    which they run: those of root itself (series ``queries``), then n4, n8 and so on, then other series by name."""
+    jvm = spark.sparkContext._jvm
+    fs = jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def folders(path: str) -> list[str]:
+        return sorted(x.getPath().getName() for x in fs.listStatus(jvm.org.apache.hadoop.fs.Path(path)) if x.isDirectory() and not x.getPath().getName().startswith("."))
+
+    found = []
+    for top in folders(root):
+        inside = [("queries", top, f"{root}/{top}")] if top.isdecimal() else [(top, x, f"{root}/{top}/{x}") for x in folders(f"{root}/{top}") if x.isdecimal()]
+        found += [x for x in inside if fs.listStatus(jvm.org.apache.hadoop.fs.Path(x[2]))]
+    rank = lambda series: -1 if series == "queries" else int(series[1:]) if series[:1] in "nN" and series[1:].isdecimal() else float("inf")
+    return [(series, int(name), path) for series, name, path in sorted(found, key=lambda x: (rank(x[0]), x[0], int(x[1]), x[1]))]
 
 
 def ntriples(edges: DataFrame) -> DataFrame:

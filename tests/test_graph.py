@@ -282,7 +282,7 @@ def test_command_line(spark, tmp_path, capsys):
     out = json.loads(capsys.readouterr().out.strip().split("\n")[-1])
     assert [x["nodes"] for x in out["matches"]] == [[0, 1], [1, 2]] and not out["timeout"]
     slow = spark.range(0, 1 << 50, 1, 8).selectExpr("max(hash(id)) AS h")
-    assert cli.within(spark, 1.0, "slow", slow) is None
+    assert cli.within(spark, 1.0, "slow", lambda: slow) is None
     (tmp_path / "t.nt").write_text("<a> <p> <b> .\n<a> <p> <b> .\n")
     cli.main(["backup", str(tmp_path / "t.nt"), str(tmp_path / "s")])
     cli.main(["restore", str(tmp_path / "s"), str(tmp_path / "o")])
@@ -358,3 +358,22 @@ def test_text(spark):
     p = Pattern(3, ((0, "knows", 1), (1, "age", 2)))
     assert text.of_pattern(p, 3) == 'SELECT ?v0 ?v1 ?v2 WHERE { ?v0 "knows" ?v1 . ?v1 "age" ?v2 } ORDER BY DESC(?v0 + ?v1 + ?v2) LIMIT 3'
     assert got(text.of_pattern(p, 3)) == [("a", "b", "9"), ("b", "c", "old")]
+
+
+def test_result_lines(spark):
+    rows = [(1, 0, 0.5, 7, 2, 3, "g", "r", "c"), (1, 1, 0.5, 3, None, 4, "c", "s", "d"), (2, 0, 1 / 3, 1, 1, 2, "a", directories.RDF_TYPE, "b")]
+    df = spark.createDataFrame(rows, "rank int, eid int, score double, src long, rel_id int, dst long, src_name string, rel string, dst_name string")
+    lines = lambda layout: [r["line"] for r in directories.result_lines(df, layout).collect()]
+    assert lines("known")[0] == "0.5|7---2---3|g---r---c|3---0---4|c---UNKNOWN_REL---d"
+    assert lines("sorted")[0].startswith("0.5|3---2---7|c---r---g|")
+    assert lines("plain")[1] == f"0.33333333|1---1---2|a---{directories.RDF_TYPE}---b"
+    assert lines("ranked")[1] == "2  0.333333333"
+
+
+def test_query_folders(spark, tmp_path):
+    for path in ("2", "10", "n8/1", "n4/3", "n4/x", "other/1", ".hidden/1", "empty"):
+        (tmp_path / path).mkdir(parents=True)
+        (tmp_path / path / "edges.txt").write_text("")
+    (tmp_path / "5").mkdir()
+    got = [(s, n) for s, n, _ in directories.query_folders(spark, str(tmp_path))]
+    assert got == [("queries", 2), ("queries", 10), ("n4", 3), ("n8", 1), ("other", 1)]
